@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import op10_quality_rules
+from .secret_scans import op5_secret_scans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_quality_rules]
+    found = [op5_secret_scans, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
