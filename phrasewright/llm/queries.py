@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import op10_quality_rules
 from .secret_scans import op5_secret_scans
+from .source_mixing import op7_source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_secret_scans, op10_quality_rules]
+    found = [op5_secret_scans, op7_source_mixing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
