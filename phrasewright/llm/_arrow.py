@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ def slices(batch: pa.RecordBatch, column: str = "_text") -> Iterator[pa.RecordBa
     """A batch in pieces of about BATCH_BYTES of text."""
     i = batch.schema.get_field_index(column)
     at = size = 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_pylist()
     for k, n in enumerate(lengths):
         if k > at and size + n > BATCH_BYTES:
             yield batch.slice(at, k - at)
@@ -28,14 +29,10 @@ def slices(batch: pa.RecordBatch, column: str = "_text") -> Iterator[pa.RecordBa
 
 def map_texts(docs: DataFrame, keys: list[str], f: Callable[[list[str | None]], list[pa.Array]], added: str) -> DataFrame:
     """``keys`` of docs as they are, and the columns ``added`` that f makes of a list of texts."""
-    import pyarrow.compute  # noqa: F401
-
     rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col("text").cast("string").alias("_text"))
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in slices(batch):
                 made = f(part.column(n).to_pylist())
