@@ -13,11 +13,12 @@ from .quality_rules import op10_quality_rules
 from .secret_scans import op5_secret_scans
 from .sharding import op1_sharding
 from .simhash_dedup import op4_simhash_dedup
+from .toxicity import op2_toxicity
 from .source_mixing import op7_source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op3_fingerprints, op4_simhash_dedup, op5_secret_scans, op7_source_mixing, op8_quality_classifier, op9_license_scans, op10_quality_rules]
+    found = [op1_sharding, op2_toxicity, op3_fingerprints, op4_simhash_dedup, op5_secret_scans, op7_source_mixing, op8_quality_classifier, op9_license_scans, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
