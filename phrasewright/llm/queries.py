@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op3_fingerprints
 from .license_scans import op9_license_scans
+from .piece_encoding import op6_piece_encoding
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secret_scans import op5_secret_scans
@@ -18,7 +19,7 @@ from .source_mixing import op7_source_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_toxicity, op3_fingerprints, op4_simhash_dedup, op5_secret_scans, op7_source_mixing, op8_quality_classifier, op9_license_scans, op10_quality_rules]
+    found = [op1_sharding, op2_toxicity, op3_fingerprints, op4_simhash_dedup, op5_secret_scans, op6_piece_encoding, op7_source_mixing, op8_quality_classifier, op9_license_scans, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
