@@ -39,3 +39,21 @@ def pack(bits: np.ndarray) -> int:
 def fingerprint(hashes: np.ndarray) -> int:
     """64 bits; 0 for no shingles."""
     return pack(2 * bit_counts(hashes) > len(hashes)) if len(hashes) else 0
+
+
+#: Odd multipliers that make further hashes of a shingle, one a word of a longer fingerprint.
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """256 bits by the same rule, from four mixed hashes a shingle; zeros for no shingles."""
+    if not len(hashes):
+        return bytes(32)
+    bits = []
+    for m in _MIX:
+        x = hashes * m
+        x ^= x >> np.uint64(32)
+        x *= m
+        x ^= x >> np.uint64(29)
+        bits.append(2 * bit_counts(x) > len(x))
+    return np.packbits(np.concatenate(bits)).tobytes()

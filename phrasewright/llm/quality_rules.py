@@ -98,10 +98,9 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return spread.select(*docs.columns, *[c.alias(k) for k, c in added.items()])
 
 
-def votes() -> Column:
-    """Votes of all rules in their order: -1 bad, 0 none, 1 good."""
-    one = lambda r: f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END"
-    return F.expr(f"array({', '.join(map(one, RULES))})")
+def votes() -> list[Column]:
+    """The vote of each rule: -1 bad, 0 none, 1 good."""
+    return [F.expr(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END") for r in RULES]
 
 
 @dataclass(frozen=True)
@@ -112,8 +111,8 @@ class Model:
     good: tuple[tuple[float, float, float], ...]
     bad: tuple[tuple[float, float, float], ...]
 
-    def posterior(self, v: Column) -> Column:
-        """P(good | votes)."""
+    def posterior(self, v: list[Column]) -> Column:
+        """P(good | votes), one vote a rule."""
         z = F.lit(math.log(self.prior) - math.log(1 - self.prior))
         for j, (g, b) in enumerate(zip(self.good, self.bad)):
             w = [math.log(x) - math.log(y) for x, y in zip(g, b)]
@@ -135,7 +134,7 @@ def fit(patterns: DataFrame, steps: int = 25, tol: float = 1e-5, weight: float =
     """
     model = first = start()
     for _ in range(steps):
-        e = patterns.select("v", "n", (F.col("n") * model.posterior(F.col("v"))).alias("g"))
+        e = patterns.select("v", "n", (F.col("n") * model.posterior([F.col("v")[j] for j in range(len(RULES))])).alias("g"))
         sums = [F.sum("n"), F.sum("g")]
         for j in range(len(RULES)):
             for x in (-1, 0, 1):
@@ -163,34 +162,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(stats: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds posterior, base_failed and kept to rows that carry the statistics."""
-    voted = stats.withColumn("_v", votes())
-    model = fit(cut(voted.groupBy(F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("n"))))
-    return (
-        voted.withColumn("posterior", model.posterior(F.col("_v")))
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-        .drop("_v")
-    )
+def patterns(stats: DataFrame) -> DataFrame:
+    """(v, n): distinct vote patterns and their documents."""
+    return cut(stats.groupBy(F.array(*votes()).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def verdict(model: Model, threshold: float) -> Column:
+    return ~base_failed() & (model.posterior(votes()) >= threshold)
 
 
 def rate(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the statistics, posterior, base_failed and kept of every row of ``docs``."""
-    return judge(cut(with_statistics(docs.select("doc_id", "text")).drop("text")), threshold)
+    stats = cut(with_statistics(docs.select("doc_id", "text")).drop("text"))
+    model = fit(patterns(stats))
+    return stats.select("*", model.posterior(votes()).alias("posterior"), base_failed().alias("base_failed"), verdict(model, threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model keeps, with the columns of ``docs``.
 
     The statistics are computed once for the fit and once more beside each text, in the scan: texts
-    are never shuffled.
+    are never shuffled. They pass through a generator, so that the filter isn't pushed below them,
+    where it would compute each of them for each of its mentions.
     """
-    voted = with_statistics(docs.select("text")).select(votes().alias("v"))
-    model = fit(cut(voted.groupBy("v").agg(F.count(F.lit(1)).alias("n"))))
+    model = fit(patterns(with_statistics(docs.select("text"))))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = with_statistics(packed).where(~base_failed() & (model.posterior(votes()) >= threshold))
-    return kept.select("row.*")
+    stats = with_statistics(packed).select("row", F.inline(F.array(F.struct(*STATS))))
+    return stats.where(verdict(model, threshold)).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,20 @@ def _moved(v: Column, order: list[tuple[int, int]]) -> tuple[Column, Column]:
 
 
 def self_join(v: np.ndarray, depth: int, starts: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of sorted distinct words v within the radius, for subtries [start, end) of words
-    that agree in their first ``depth`` bits. A node is a range of v."""
+    """Pairs (i, j) of sorted words v within the radius, for subtries [start, end) of words that agree
+    in their first ``depth`` bits. A node is a range of v."""
     wide = ends - starts > 1
     lo, hi = starts[wide], ends[wide]
-    todo = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    return traverse(v, v, depth, (lo, hi, lo, hi), radius)
+
+
+def traverse(va: np.ndarray, vb: np.ndarray, depth: int, nodes: tuple[np.ndarray, ...], radius: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of va and vb within the radius, below pairs of nodes (start, end in va, start, end in vb)
+    whose words agree in their first ``depth`` bits. Words are sorted, and only their first ``bits``
+    bits count. If va is vb, nodes are the same or disjoint, and a pair comes once."""
+    self_ = va is vb
+    mask = ~np.uint64(0) << np.uint64(64 - bits)
+    todo = [(depth, *nodes, np.zeros(len(nodes[0]), np.int8))]
     while todo:
         d, a, a_end, b, b_end, err = todo.pop()
         if len(a) > PIECE:
@@ -77,24 +86,42 @@ def self_join(v: np.ndarray, depth: int, starts: np.ndarray, ends: np.ndarray, r
             todo += [(d, *(x[s] for x in (a, a_end, b, b_end, err))) for s in (slice(None, at), slice(at, None))]
             continue
         leaf = (a_end - a == 1) & (b_end - b == 1)
-        i, j = a[leaf & (a != b)], b[leaf & (a != b)]
-        near = np.bitwise_count(v[i] ^ v[j]) <= radius
+        i, j = a[leaf], b[leaf]
+        near = np.bitwise_count((va[i] ^ vb[j]) & mask) <= radius
+        if self_:
+            near &= i != j
         if near.any():
             yield i[near], j[near]
         a, a_end, b, b_end, err = (x[~leaf] for x in (a, a_end, b, b_end, err))
-        if not len(a) or d >= 64:
+        if not len(a):
+            continue
+        if d == bits:  # all words of a node are equal
+            yield from _products(a, a_end, b, b_end, self_)
             continue
         bit = np.uint64(1) << np.uint64(63 - d)
         ones = ~(bit | (bit - np.uint64(1)))
-        a_mid, b_mid = (np.searchsorted(v, (v[x] & ones) | bit) for x in (a, b))
-        same = a == b
+        a_mid, b_mid = np.searchsorted(va, (va[a] & ones) | bit), np.searchsorted(vb, (vb[b] & ones) | bit)
+        apart = (a != b) if self_ else np.ones(len(a), bool)
         steps = [
             (a, a_mid, b, b_mid, err), (a_mid, a_end, b_mid, b_end, err), (a, a_mid, b_mid, b_end, err + 1),
-            tuple(x[~same] for x in (a_mid, a_end, b, b_mid, err + 1)),
+            tuple(x[apart] for x in (a_mid, a_end, b, b_mid, err + 1)),
         ]
-        steps = [np.concatenate(x) for x in zip(*steps)]
-        live = (steps[1] > steps[0]) & (steps[3] > steps[2]) & (steps[4] <= radius) & ((steps[0] != steps[2]) | (steps[1] - steps[0] > 1))
-        todo.append((d + 1, *(x[live] for x in steps)))
+        a, a_end, b, b_end, err = (np.concatenate(x) for x in zip(*steps))
+        live = (a_end > a) & (b_end > b) & (err <= radius)
+        if self_:
+            live &= (a != b) | (a_end - a > 1)
+        todo.append((d + 1, *(x[live] for x in (a, a_end, b, b_end, err))))
+
+
+def _products(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, self_: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs between two ranges, for each pair of ranges."""
+    for lo, hi, start, end in zip(a.tolist(), a_end.tolist(), b.tolist(), b_end.tolist()):
+        rows = max(1, PIECE // (end - start))
+        for at in range(lo, hi, rows):
+            up = min(hi, at + rows)
+            i, j = np.repeat(np.arange(at, up), end - start), np.tile(np.arange(start, end), up - at)
+            once = i < j if self_ and lo == start else slice(None)
+            yield i[once], j[once]
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
