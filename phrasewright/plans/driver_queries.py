@@ -1,9 +1,286 @@
-"""The registered queries of the tagging engine and their DuckDB SQL."""
+"""The registered queries of the tagging engine, and for each the same result in DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import scalars
+from ..functions.analyzer import FOLDS, HYPHENS, TOKEN, derive_output, key_column, output_column
+from ..operators import dictionary, formats, matching
+from ..operators.tagger import Tagger
+from ..sources.dictionaries import from_entries
+
+#: (phrase, kind, id[, output]): words, licence lines, synonyms, a repeated record and one without tokens.
+ENTRIES = [
+    ("the", "word", "w:the"), ("of the", "word", "w:of-the"), ("The", "word", "w:the"), ("THE", "article", "a:the"), ("and", "word", "w:and", "AMP"), ("de la", "word", "w:de-la"),
+    ("der", "word", "w:der"), ("die und", "word", "w:die-und"), ("los", "word", "w:los"), ("that with", "word", "w:that-with"), ("in the", "word", "w:in-the"), ("the and", "word", "w:the-and"),
+    ("Licensed under the Apache License, Version 2.0", "license", "l:apache"), ("Released under the MIT License", "license", "l:mit"), ("MIT-License", "license", "l:mit-hyphen"),
+    ("GNU General Public License", "license", "l:gpl"), ("General Public", "license", "l:public"), ("License, version 3", "license", "l:v3"), ("CC BY-NC 4.0", "license", "l:cc"),
+    ("All rights reserved", "license", "l:reserved"), ("all rights", "word", "w:rights"), ("été", "word", "w:ete"), ("Ö", "word", "w:o"), ("日本", "word", "w:none"), ("pour", "word", "w:pour"),
+]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tagger(spark: SparkSession) -> Tagger:
+    return Tagger.build(spark, ENTRIES)
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> Tagger:
+    items = _table(spark, sf_dir, "benchmark")
+    return Tagger.build(spark, items.select(F.col("text").alias("phrase"), F.lit("passage").alias("kind"), F.col("item_id").cast("string").alias("id"), F.lit("P").alias("output"), F.col("item_id").alias("ord")))
+
+
+def _tags(spark, sf_dir, policy, plan=None) -> DataFrame:
+    return _tagger(spark).tag(_table(spark, sf_dir, "documents"), ["doc_id"], policy=policy, plan=plan)
+
+
+_SHOWN = ["start", "end", "surface", "id", F.col("kind").alias("type"), "output"]
+
+
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.tokens(_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", key_column(F.col("p_name")).alias("key"), output_column(F.col("p_name")).alias("output"))
+
+
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(key_column(F.col("text")), "utf-8")).alias("key_md5"))
+
+
+def dict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagger(spark).records.select("key", "n_tokens", "kind", "id", "output", "ord")
+
+
+def dict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.stats(_passages(spark, sf_dir).records)
+
+
+def dict_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.kinds(_tagger(spark).records)
+
+
+def tag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tags(spark, sf_dir, matching.ALL).select("doc_id", *_SHOWN)
+
+
+def tag_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tags(spark, sf_dir, matching.LONGEST).select("doc_id", *_SHOWN)
+
+
+def tag_all_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tags(spark, sf_dir, matching.ALL, "join").select("doc_id", *_SHOWN)
+
+
+def tag_longest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tags(spark, sf_dir, matching.LONGEST, "join").select("doc_id", *_SHOWN)
+
+
+def tag_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagger(spark).tag(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).select("conv_id", "turn", *_SHOWN)
+
+
+def tag_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).tag(_table(spark, sf_dir, "documents"), ["doc_id"], policy=matching.ALL).select("doc_id", *_SHOWN)
+
+
+def solr_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = formats.solr_docs(_tags(spark, sf_dir, matching.LONGEST), ["doc_id"])
+    return out.select("doc_id", "id", F.array_join("name", "|").alias("name"), "type")
+
+
+def solr_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = formats.solr_spans(_tags(spark, sf_dir, matching.LONGEST), ["doc_id"])
+    return out.select("doc_id", "startOffset", "endOffset", F.array_join("ids", "|").alias("ids"))
+
+
+def format_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.tsv_lines(_tags(spark, sf_dir, matching.LONGEST), ["doc_id"]).select("doc_id", "seq", "line")
+
+
+def format_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope as JSON and read again: its fields, and its tags in order."""
+    docs = _table(spark, sf_dir, "documents")
+    out = formats.simple(docs, _tags(spark, sf_dir, matching.LONGEST), ["doc_id"])
+    back = formats.as_json(out, ["doc_id"]).select("doc_id", F.from_json("json", out.schema["response"].dataType).alias("r"))
+    shown = F.array_join(F.transform("r.docs", lambda t: F.concat_ws(":", t["start"], t["end"], t["id"], t["type"], t["output"])), "|")
+    return back.select("doc_id", "r.totaltime", F.md5(F.encode("r.text", "utf-8")).alias("text_md5"), F.size("r.docs").cast("long").alias("n_docs"), shown.alias("docs"))
+
+
+def format_solr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = formats.solr(docs, _tags(spark, sf_dir, matching.LONGEST), ["doc_id"])
+    back = formats.as_json(out, ["doc_id"]).select("doc_id", F.from_json("json", out.schema["response"].dataType).alias("r"))
+    ids = F.array_join(F.transform("r.response.docs", lambda d: d["id"]), "|")
+    spans = F.array_join(F.transform("r.tags", lambda t: F.concat_ws(":", t["startOffset"], t["endOffset"], F.array_join(t["ids"], "+"))), "|")
+    return back.select("doc_id", "r.response.numFound", F.col("r.response.start").alias("start"), ids.alias("doc_ids"), spans.alias("tags"))
+
+
+def url_decode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", scalars.url_decode_column(F.col("url")).alias("url"))
+
+
+def query_param_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.concat(F.lit("format=simple&text=a+b%20"), F.col("page_id").cast("string"), F.lit("&text=no"))
+    return _table(spark, sf_dir, "pages").select("page_id", scalars.query_param_column(asked, "text").alias("text"), scalars.query_param_column(asked, "missing").alias("missing"))
+
+
+def json_escape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(scalars.json_escape_column(F.col("html")), "utf-8")).alias("escaped_md5"))
+
+
+def json_field_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct(F.col("event_type").alias("text"), F.lit("solr").alias("format")))
+    return _table(spark, sf_dir, "events").select("event_id", scalars.json_string_field(body, "text").alias("text"), scalars.json_string_field(body, "other").alias("other"))
+
+
+def tags_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and texts by language and kind, with totals."""
+    tags = _tagger(spark).tag(_table(spark, sf_dir, "documents"), ["doc_id", "lang"])
+    return tags.rollup("lang", "kind").agg(F.count(F.lit(1)).alias("n_tags"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def documents_without_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").join(_tags(spark, sf_dir, matching.LONGEST).select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+def top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten ids with the most tags."""
+    return _tags(spark, sf_dir, matching.LONGEST).groupBy("id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(10)
+
+
+_QUERIES = [
+    tokenize_documents, normalize_keys, normalize_documents, dict_records, dict_stats, dict_kinds, tag_all, tag_longest, tag_all_join, tag_longest_join, tag_conversations,
+    tag_benchmark_passages, solr_docs, solr_spans, format_tsv, format_simple, format_solr, url_decode_pages, query_param_pages, json_escape_pages, json_field_events,
+    tags_by_lang, documents_without_tag, top_phrases,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _fold(x: str) -> str:
+    for c, f in FOLDS.items():
+        if len(f) > 1:
+            x = f"replace({x}, '{c}', '{f}')"
+    one = {c: f for c, f in FOLDS.items() if len(f) == 1}
+    return f"lower(translate({x}, {_lit(''.join(one) + HYPHENS)}, '{''.join(one.values())}'))"
+
+
+_RE = _lit(TOKEN)
+
+
+def _key(x: str, between: str = "chr(30)") -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {_RE}), lambda t : {_fold('t')}), {between})"
+
+
+def _spans(table: str, keys: str) -> str:
+    """CTEs toks(keys, i, tok, s, e) and lists(keys, tk)."""
+    part = f"PARTITION BY {keys} ORDER BY i"
+    return f"""raws AS (SELECT {keys}, regexp_extract_all(text, {_RE}) AS tk, string_split_regex(text, {_RE}) AS gp FROM {table}),
+each_ AS (SELECT {keys}, unnest(tk) AS raw, unnest(gp[1:len(tk)]) AS gap, unnest(range(len(tk))) AS i FROM raws),
+toks AS (SELECT {keys}, i::INT AS i, {_fold('raw')} AS tok, (sum(strlen(gap) + strlen(raw)) OVER ({part}) - strlen(raw))::BIGINT AS s,
+ (sum(strlen(gap) + strlen(raw)) OVER ({part}))::BIGINT AS e FROM each_),
+lists AS (SELECT {keys}, list_transform(tk, lambda t : {_fold('t')}) AS tk FROM raws)"""
+
+
+def _records(entries: str) -> str:
+    """CTE recs(key, n, kind, id, output, ord) from entries(phrase, kind, id, output, ord)."""
+    return f"""keyed AS (SELECT {_key('phrase')} AS key, kind, id, coalesce(output, upper({_key('phrase', "''")})) AS output, ord FROM ({entries})),
+recs AS (SELECT key, len(string_split(key, chr(30)))::INT AS n, kind, id, output, min(ord)::BIGINT AS ord FROM keyed WHERE key <> '' GROUP BY ALL)"""
+
+
+def _entries() -> str:
+    row = lambda i, e: f"({_lit(e[0])}, {_lit(e[1])}, {_lit(e[2])}, {_lit(e[3]) if len(e) > 3 else 'NULL'}, {i})"
+    return f"SELECT * FROM (VALUES {', '.join(row(i, e) for i, e in enumerate(ENTRIES))}) t(phrase, kind, id, output, ord)"
+
+
+_PASSAGES = "SELECT text AS phrase, 'passage' AS kind, item_id::VARCHAR AS id, 'P' AS output, item_id AS ord FROM benchmark"
+
+
+def _hits(table: str, keys: str, entries: str, longest: bool, extra: str = "") -> str:
+    """CTEs up to tags(keys, i, n, start, end, surface, id, kind, output, ord)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    of = lambda t: ", ".join(f"{t}.{k.strip()}" for k in keys.split(","))
+    sql = f"""WITH RECURSIVE {_records(entries)},
+{_spans(table, keys)},
+dkeys AS (SELECT DISTINCT key, n, string_split(key, chr(30)) AS parts FROM recs),
+pairs AS (SELECT *, lead(tok) OVER (PARTITION BY {keys} ORDER BY i) AS nxt FROM toks),
+cands AS (SELECT {of('a')}, a.i, d.key, d.n, d.parts FROM pairs a JOIN dkeys d ON a.tok = d.parts[1] AND (d.n = 1 OR a.nxt = d.parts[2])),
+hits AS (SELECT {keys}, i, key, n FROM cands WHERE n <= 2 UNION ALL
+ SELECT {of('a')}, a.i, a.key, a.n FROM cands a JOIN lists b ON {on} WHERE a.n > 2 AND b.tk[a.i + 1 : a.i + a.n] = a.parts)"""
+    if longest:
+        sql += f""",
+most AS (SELECT {keys}, i, max(n) AS n FROM hits GROUP BY ALL),
+kept AS (SELECT {keys}, min(i) AS i, arg_min(n, i) AS n FROM most GROUP BY {keys} UNION ALL
+ SELECT {of('a')}, min(b.i) AS i, arg_min(b.n, b.i) AS n FROM kept a JOIN most b ON {on} AND b.i >= a.i + a.n GROUP BY {of('a')}, a.i, a.n),
+chosen AS (SELECT a.* FROM hits a JOIN kept b ON {on} AND a.i = b.i AND a.n = b.n)"""
+    else:
+        sql += ",\nchosen AS (SELECT * FROM hits)"
+    first = " AND ".join(f"a.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    last = " AND ".join(f"a.{k.strip()} = l.{k.strip()}" for k in keys.split(","))
+    back = " AND ".join(f"a.{k.strip()} = x.{k.strip()}" for k in keys.split(","))
+    return sql + f""",
+tags AS (SELECT {of('a')}, a.i, a.n, f.s AS "start", l.e AS "end", decode(encode(x.text)[f.s + 1 : l.e]) AS surface, r.id, r.kind, r.output, r.ord
+ FROM chosen a JOIN toks f ON {first} AND f.i = a.i JOIN toks l ON {last} AND l.i = a.i + a.n - 1 JOIN {table} x ON {back} JOIN recs r ON r.key = a.key){extra}
+"""
+
+
+_SEQ = ', seqs AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i, n, ord) - 1)::INT AS seq FROM tags)'
+
+
+def oracle_sql() -> dict[str, str]:
+    shown = 'SELECT doc_id, "start", "end", surface, id, kind AS type, output FROM tags'
+    every, longest = _hits("documents", "doc_id", _entries(), False), _hits("documents", "doc_id", _entries(), True)
+    ordered = _hits("documents", "doc_id", _entries(), True, _SEQ)
+    escaped = "html"
+    for raw, name in (("chr(92)", "chr(92) || chr(92)"), ("chr(34)", "chr(92) || chr(34)"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'")):
+        escaped = f"replace({escaped}, {raw}, {name})"
+    docs = "docs_ AS (SELECT doc_id, id, min(seq) AS first, arg_min(kind, seq) AS type FROM seqs GROUP BY ALL HAVING true)"
+    docs = docs.replace(" GROUP BY ALL HAVING true", " GROUP BY doc_id, id")
+    names = "names AS (SELECT doc_id, id, surface, min(seq) AS at_ FROM seqs GROUP BY ALL)"
+    spans = "ids_ AS (SELECT doc_id, \"start\", \"end\", id, min(seq) AS at_ FROM seqs GROUP BY ALL), spans AS (SELECT doc_id, \"start\", \"end\", string_agg(id, '{}' ORDER BY at_) AS ids FROM ids_ GROUP BY ALL)"
+    return {
+        "tokenize_documents": f'WITH {_spans("documents", "doc_id")} SELECT doc_id, i, tok, s AS "start", e AS "end" FROM toks',
+        "normalize_keys": f"SELECT p_partkey, {_key('p_name')} AS key, upper({_key('p_name', chr(39) * 2)}) AS output FROM part",
+        "normalize_documents": f"SELECT doc_id, md5({_key('text')}) AS key_md5 FROM documents",
+        "dict_records": f"WITH {_records(_entries())} SELECT key, n AS n_tokens, kind, id, output, ord FROM recs",
+        "dict_stats": f"WITH {_records(_PASSAGES)} SELECT count(DISTINCT key) AS n_keys, count(*) AS n_records, count(DISTINCT kind) AS n_kinds, max(n)::BIGINT AS longest FROM recs",
+        "dict_kinds": f"WITH {_records(_entries())} SELECT DISTINCT kind FROM recs",
+        "tag_all": every + shown,
+        "tag_longest": longest + shown,
+        "tag_all_join": every + shown,
+        "tag_longest_join": longest + shown,
+        "tag_conversations": _hits("conversations", "conv_id, turn", _entries(), True) + 'SELECT conv_id, turn, "start", "end", surface, id, kind AS type, output FROM tags',
+        "tag_benchmark_passages": _hits("documents", "doc_id", _PASSAGES, False) + shown,
+        "solr_docs": ordered + f", {docs}, {names} SELECT d.doc_id, d.id, string_agg(n.surface, '|' ORDER BY n.at_) AS name, d.type FROM docs_ d JOIN names n ON d.doc_id = n.doc_id AND d.id = n.id GROUP BY d.doc_id, d.id, d.type",
+        "solr_spans": ordered + f', {spans.format("|")} SELECT doc_id, "start" AS "startOffset", "end" AS "endOffset", ids FROM spans',
+        "format_tsv": ordered + """SELECT doc_id, seq, concat_ws(chr(9), "start", "end", kind, id, output, surface) AS line FROM seqs""",
+        "format_simple": ordered + """, joined AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', "start", "end", id, kind, output), '|' ORDER BY seq) AS docs FROM seqs GROUP BY doc_id)
+SELECT d.doc_id, 0::BIGINT AS totaltime, md5(d.text) AS text_md5, coalesce(n, 0)::BIGINT AS n_docs, coalesce(docs, '') AS docs FROM documents d LEFT JOIN joined USING (doc_id)""",
+        "format_solr": ordered + f""", {docs}, {spans.format("+")}, a AS (SELECT doc_id, count(*) AS n, string_agg(id, '|' ORDER BY first) AS doc_ids FROM docs_ GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(concat_ws(':', "start", "end", ids), '|' ORDER BY "start", "end") AS tags FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS numFound, 0::BIGINT AS "start", coalesce(doc_ids, '') AS doc_ids, coalesce(tags, '') AS tags FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
+        "url_decode_pages": "SELECT page_id, url_decode(replace(url, '+', ' ')) AS url FROM pages",
+        "query_param_pages": "SELECT page_id, 'a b ' || page_id AS text, NULL::VARCHAR AS missing FROM pages",
+        "json_escape_pages": f"SELECT page_id, md5({escaped}) AS escaped_md5 FROM pages",
+        "json_field_events": "SELECT event_id, event_type AS text, NULL::VARCHAR AS other FROM events",
+        "tags_by_lang": longest + "SELECT lang, kind, count(*) AS n_tags, count(DISTINCT doc_id) AS n_docs FROM tags JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)",
+        "documents_without_tag": longest + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tags)",
+        "top_phrases": longest + "SELECT id, count(*) AS n FROM tags GROUP BY id ORDER BY n DESC, id LIMIT 10",
+    }
+
+
+__all__ = ["ENTRIES", "derive_output", "from_entries", "oracle_sql", "queries"]
