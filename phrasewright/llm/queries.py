@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op3_fingerprints
 from .license_scans import op9_license_scans
+from .license_sql import op9_sql
 from .piece_encoding import op6_piece_encoding
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secret_scans import op5_secret_scans
+from .secret_sql import op5_sql
 from .sharding import op1_sharding
 from .simhash_dedup import op4_simhash_dedup
 from .toxicity import op2_toxicity
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scans": op5_sql(), "op9_license_scans": op9_sql()}
