@@ -220,6 +220,6 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     near = prints.join(counts_within(prints).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     near = near.select(F.col("word").alias("w"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_near"))
-    out = rows.join(near, F.col("word") == F.col("w"))
+    out = rows.join(cut(near), F.col("word") == F.col("w"))  # cut: a common word's rows may then be split
     shown = lambda c: F.lower(F.hex(c)).alias(c)
     return out.select("doc_id", "n_chars", "edited_sha256", shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near")
