@@ -194,6 +194,7 @@ def classes(rows: DataFrame, radius: int) -> DataFrame:
     lowest = merged.groupBy("root").agg(F.min("low").alias("component_id"))
     known = merged.select("node", "root").join(lowest, "root").select(F.col("node").alias("fingerprint"), "component_id")
     alone = prints.join(known, "fingerprint", "left").select(F.col("fingerprint").alias("f"), F.coalesce("component_id", "low").alias("component_id"))
+    alone = cut(alone)  # both sides of the last join are then dealt for it alone, and the rows of one fingerprint may be split
     return rows.join(alone, F.col("fingerprint") == F.col("f")).drop("f")
 
 
