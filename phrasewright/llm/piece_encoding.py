@@ -6,7 +6,8 @@ Forward Viterbi gives the best score of every prefix. These are exact heuristics
 backward from the end: A-star leaves the agenda in the order of whole paths' scores, so the first
 N complete ones are the N best.
 
-Arcs never cross the start of a run of blanks or a line break (checked when a vocabulary is loaded), so
+Arcs never cross the start of a run of blanks, a line break (checked when a vocabulary is loaded) or, where
+no piece of the vocabulary does, the place between a letter and a mark, so
 the lattice of a text is a chain of small lattices. A worker remembers those it has met. Of a whole
 text only the N - 1 links of the chain with the least loss to their second path can differ from the best
 in its N best segmentations: A-star runs on these, and their paths are combined best first.
@@ -27,8 +28,9 @@ import hashlib
 import heapq
 import math
 import re
+import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,17 @@ from ._common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Links that a worker remembers (twice as many, in two generations).
-_REMEMBER = 100_000
-_LINKS = re.compile(r" *[^ \n]+|\n| +")
+_REMEMBER = 300_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = ".,;:!?%$#&*|<>()[]{}\"'/-+="
+
+
+def _pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+def _unpack(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<i4")
 
 
 class Vocabulary:
@@ -68,6 +79,22 @@ class Vocabulary:
 
     def _set_up(self) -> None:
         self._starts = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self._trie: dict = {}
+        for p, found in self.pieces.items():
+            node = self._trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
+        # a mark that no piece has behind a letter starts a link of its own
+        letter = re.compile(f"[{_LETTERS}]")
+        behind = {b for p in self.pieces for a, b in zip(p, p[1:]) if letter.match(a)}
+        marks = "".join(re.escape(c) for c in _MARKS if c not in behind)
+        if marks:
+            inner = f"(?:[^ \n{marks}]++|(?<![{_LETTERS}])[{marks}]++)"
+            self._links = re.compile(f" *{inner}++|[{marks}]++{inner}*+|\n| +").findall
+        else:
+            self._links = re.compile(" *[^ \n]+|\n| +").findall
+        self._ways: dict[tuple[str, int], list] = {}
         self._young: dict[str, tuple] = {}
         self._old: dict[str, tuple] = {}
         text = {i: p.encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
@@ -113,38 +140,62 @@ class Vocabulary:
             last.append(arc)
         return best, last
 
-    def link(self, s: str) -> tuple[float, float, tuple[int, ...]]:
-        """Best score, its distance to the second path's, and the ids of the best path."""
+    def link(self, s: str) -> tuple[float, float, bytes]:
+        """Best score, its distance to the second path's, and the packed ids of the best path."""
         got = self._young.get(s)
         if got is not None:
             return got
-        got = self._old.get(s)
-        if got is None:
-            into = self.arcs(s)
-            best, last = self.forward(into)
-            ids, at = [], len(s)
-            on = set()
-            while at:
-                arc = last[at]
-                on.add((arc[0], at))
-                ids.append(arc[2])
-                at = arc[0]
-            # backward Viterbi: the best path through an arc off the best one
-            after = [-math.inf] * len(s) + [0.0]
-            gap = math.inf
-            for j in range(len(s), 0, -1):
-                for a in into[j]:
-                    through = a[1] + after[j]
-                    if through > after[a[0]]:
-                        after[a[0]] = through
-                    if (a[0], j) not in on:
-                        gap = min(gap, best[-1] - best[a[0]] - through)
-            got = best[-1], max(0.0, gap), tuple(chain.from_iterable(reversed(ids)))
+        got = self._old.get(s) or self._two_best(s)
         if len(self._young) >= _REMEMBER:
             self._old, self._young = self._young, {}
         self._young[s] = got
         return got
 
+    def _two_best(self, s: str) -> tuple[float, float, bytes]:
+        """Forward Viterbi that keeps the two best scores of every prefix, walking the pieces' trie."""
+        n, trie, none = len(s), self._trie, -math.inf
+        first, second = [none] * (n + 1), [none] * (n + 1)
+        first[0] = 0.0
+        start, piece = [0] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            one, two = first[i], second[i]
+            node, j, single = trie, i, False
+            while j < n:
+                node = node.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                found = node.get("")
+                if found is None:
+                    continue
+                if j == i + 1:
+                    single = True
+                score = one + found[1]
+                if score > first[j]:
+                    below = two + found[1]
+                    second[j] = first[j] if first[j] > below else below
+                    first[j], start[j], piece[j] = score, i, found[0]
+                elif score > second[j]:
+                    second[j] = score
+            if not single:
+                raw = s[i].encode("utf-8", "surrogatepass")
+                score, below, j = one + len(raw) * self.byte_score, two + len(raw) * self.byte_score, i + 1
+                if score > first[j]:
+                    second[j] = first[j] if first[j] > below else below
+                    first[j], start[j], piece[j] = score, i, tuple(self.byte_ids[b] for b in raw)
+                elif score > second[j]:
+                    second[j] = score
+        ids, at = [], n
+        while at:
+            p = piece[at]
+            if type(p) is tuple:
+                ids.extend(reversed(p))
+            else:
+                ids.append(p)
+            at = start[at]
+        ids.reverse()
+        return first[n], first[n] - second[n], _pack(*ids)
+
     def paths(self, s: str) -> Iterator[tuple[float, tuple[int, ...]]]:
         """All segmentations of a link from the best on, by A-star backward from its end."""
         into = self.arcs(s)
@@ -166,46 +217,59 @@ class Vocabulary:
                 entered += 1
 
     def links(self, text: str) -> list[str]:
-        return _LINKS.findall(" " + text) if text else []
-
-    def n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """Score and ids of the n best segmentations of a whole text (fewer if there are fewer)."""
+        return self._links(" " + text) if text else []
+
+    def ways(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """Loss and packed ids of the n best paths of a link, best first."""
+        found = self._ways.get((s, n))
+        if found is None:
+            found, top = [], None
+            for score, ids in islice(self.paths(s), n):
+                top = score if top is None else top
+                found.append((max(0.0, top - score), _pack(*ids)))
+            if len(self._ways) > 20_000:
+                self._ways.clear()
+            self._ways[s, n] = found
+        return found
+
+    def n_best(self, text: str | None, n: int = N_BEST, ids: bool = True) -> list[tuple[float, np.ndarray | None]]:
+        """Score and ids of the n best segmentations of a whole text (fewer if there are fewer).
+
+        ids: whether to make those of the second and further ones."""
         links = self.links(text or "")
-        known = [self.link(s) for s in links]
-        base = math.fsum(k[0] for k in known)
-        best = list(chain.from_iterable(k[2] for k in known))
-        out = [(base, best)]
-        if n < 2:
+        get, link = self._young.get, self.link
+        known = [get(s) or link(s) for s in links]
+        base = math.fsum([k[0] for k in known])
+        best = [k[2] for k in known]
+        out = [(base, _unpack(best))]
+        if n < 2 or not links:
             return out
-        loose = heapq.nsmallest(n - 1, ((k[1], i) for i, k in enumerate(known) if k[1] < math.inf))
-        # loss and ids of each path of the links that can differ
-        ways: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
-        for _, i in loose:
-            found = []
-            for score, ids in self.paths(links[i]):
-                found.append((max(0.0, known[i][0] - score), ids))
-                if len(found) == n:
-                    break
-            ways[i] = found
-        order = sorted(ways)
+        gaps = np.array([k[1] for k in known])
+        loose = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
+        order = np.sort(loose[np.isfinite(gaps[loose])]).tolist()
+        ways = [self.ways(links[i], n) for i in order]
         agenda = [(0.0, (0,) * len(order))]
         seen = {agenda[0][1]}
         picked = []
         while agenda and len(picked) < n:
             loss, pick = heapq.heappop(agenda)
             picked.append((loss, pick))
-            for k, i in enumerate(order):
-                if pick[k] + 1 < len(ways[i]):
+            for k, own in enumerate(ways):
+                if pick[k] + 1 < len(own):
                     new = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(agenda, (loss - ways[i][pick[k]][0] + ways[i][pick[k] + 1][0], new))
+                        heapq.heappush(agenda, (loss - own[pick[k]][0] + own[pick[k] + 1][0], new))
         for loss, pick in picked[1:]:
-            chosen = {i: ways[i][p][1] for i, p in zip(order, pick) if p}
-            out.append((base - loss, [x for j, k in enumerate(known) for x in chosen.get(j, k[2])]))
+            changed = list(best) if ids else []
+            if ids:
+                for i, own, p in zip(order, ways, pick):
+                    changed[i] = own[p][1] if p else best[i]
+            out.append((base - loss, _unpack(changed) if ids else None))
         return out
 
     def decode(self, ids) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:]
 
@@ -218,8 +282,8 @@ def encode(docs: DataFrame, keys: list[str], vocabulary: Vocabulary, n: int = N_
         v = held.value
         ids, scores = [], []
         for t in texts:
-            found = v.n_best(t, n)
-            ids.append(np.array(found[0][1], np.int32))
+            found = v.n_best(t, n, ids=False)
+            ids.append(found[0][1])
             scores.append([s for s, _ in found])
         return [pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64()))]
 
@@ -252,10 +316,10 @@ def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = held.value
         rows = []
         for t in texts:
-            found = v.n_best(t)
+            found = v.n_best(t, ids=False)
             score, ids = found[0]
             lead = score - found[1][0] if len(found) > 1 else None
-            rows.append((len(ids), len(found), score, lead, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), v.decode(ids) == (t or "")))
+            rows.append((len(ids), len(found), score, lead, hashlib.sha256(ids.tobytes()).hexdigest(), v.decode(ids) == (t or "")))
         types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
 

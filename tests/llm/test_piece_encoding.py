@@ -14,7 +14,7 @@ needs_model = pytest.mark.skipif(not os.path.exists(E.MODEL), reason="no vocabul
 
 
 def small():
-    words = ["a", "b", "c", " ", "ab", " a", "bc", "abc", " ab", "  ", "ca", " ca"]
+    words = ["a", "b", "c", " ", "ab", " a", "bc", "abc", " ab", "  ", "ca", " ca", ".", ".a", "..", "a!", "!"]
     rng = random.Random(0)
     return E.Vocabulary({w: (300 + i, -1 - rng.random() * 3) for i, w in enumerate(words)}, list(range(256)), -9.5)
 
@@ -42,7 +42,7 @@ def brute(v, text):
 def test_n_best_matches_enumeration():
     v, rng = small(), random.Random(1)
     for _ in range(300):
-        text = "".join(rng.choice("abc  é\n") for _ in range(rng.randrange(11)))
+        text = "".join(rng.choice("abc  é\n.!") for _ in range(rng.randrange(11)))
         want = brute(v, text)
         for n in (1, 2, 5, 12):
             got = v.n_best(text, n)
@@ -57,14 +57,14 @@ def test_a_star_yields_paths_in_order():
     found = list(v.paths(" abcabca"))
     assert len(found) == len(brute(v, "abcabca")) and all(a[0] >= b[0] - 1e-12 for a, b in zip(found, found[1:]))
     best, gap, ids = v.link(" abcabca")
-    assert math.isclose(best, found[0][0]) and math.isclose(gap, found[0][0] - found[1][0]) and ids == found[0][1]
+    assert math.isclose(best, found[0][0]) and math.isclose(gap, found[0][0] - found[1][0]) and ids == E._pack(*found[0][1])
 
 
 def test_memory_turns_over(monkeypatch):
     monkeypatch.setattr(E, "_REMEMBER", 3)
     v = small()
     texts = ["ab bc ca abc", "ca bc", "c c c a b", "abc abc b"] * 3
-    assert [v.n_best(t) for t in texts] == [small().n_best(t) for t in texts] and len(v._young) + len(v._old) <= 6
+    assert str([v.n_best(t) for t in texts]) == str([small().n_best(t) for t in texts]) and len(v._young) + len(v._old) <= 6
 
 
 def test_crossing_pieces_are_refused():
@@ -97,5 +97,5 @@ def test_pieces_are_the_vocabulary_s():
     sp = sentencepiece.SentencePieceProcessor(model_file=E.MODEL)
     v = E.Vocabulary.load()
     for text in ("Hello world", "the cats  sat on\nthe mat", "élève"):
-        ids = v.n_best(text)[0][1]
+        ids = v.n_best(text)[0][1].tolist()
         assert sp.decode(ids) == text
