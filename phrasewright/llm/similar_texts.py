@@ -6,7 +6,7 @@ could allow for. So each fingerprint of 256 bits lends PROBES words of 32 bits e
 choices of its bits); each probe's words are joined by a trie self-join within PROBE_RADIUS bits,
 below subtries of KEY_BITS bits that agree; and a pair that meets there is a link only if the whole
 fingerprints differ in few enough bits for the similarity. Two texts at 0.8 meet in some probe with
-probability 0.96, at 0.85 with 0.99; unrelated ones differ in half of all bits and are no link.
+probability 0.98, at 0.85 above 0.99; unrelated ones differ in half of all bits and are no link.
 
 Links leave a task as a spanning forest. A large subtrie is first gathered around pivots: rows
 within the limit of a pivot are linked to it at once, and pairs between two such rows are never
@@ -36,7 +36,7 @@ from .simhash_dedup import PIECE, _forest, traverse
 BITS = 256
 SHINGLE = 5
 SIMILARITY = 0.8
-PROBES = 28
+PROBES = 40
 KEY_BITS = 10
 PROBE_RADIUS = 3
 #: Rows of a subtrie above which pivots come first.
@@ -56,9 +56,9 @@ def probe_bits() -> np.ndarray:
 
 
 def with_prints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, h (a hash of the text) and fingerprint (binary) of every row."""
+    """doc_id, h (a hash of the text) and fingerprint (binary, of the distinct shingles) of every row."""
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), "text")
-    return map_texts(rows, ["doc_id", "h"], lambda texts: [pa.array([long_fingerprint(shingle_hashes(t, words)) for t in texts], pa.binary())], "fingerprint binary")
+    return map_texts(rows, ["doc_id", "h"], lambda texts: [pa.array([long_fingerprint(np.unique(shingle_hashes(t, words))) for t in texts], pa.binary())], "fingerprint binary")
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
