@@ -40,7 +40,7 @@ def _tags(spark, sf_dir, policy, plan=None) -> DataFrame:
     return _tagger(spark).tag(_table(spark, sf_dir, "documents"), ["doc_id"], policy=policy, plan=plan)
 
 
-_SHOWN = ["start", "end", "surface", "id", F.col("kind").alias("type"), "output"]
+_SHOWN = ["`start`", "`end`", "surface", "id", "kind AS type", "output"]
 
 
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,27 +68,27 @@ def dict_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir, matching.ALL).select("doc_id", *_SHOWN)
+    return _tags(spark, sf_dir, matching.ALL).selectExpr("doc_id", *_SHOWN)
 
 
 def tag_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir, matching.LONGEST).select("doc_id", *_SHOWN)
+    return _tags(spark, sf_dir, matching.LONGEST).selectExpr("doc_id", *_SHOWN)
 
 
 def tag_all_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir, matching.ALL, "join").select("doc_id", *_SHOWN)
+    return _tags(spark, sf_dir, matching.ALL, "join").selectExpr("doc_id", *_SHOWN)
 
 
 def tag_longest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir, matching.LONGEST, "join").select("doc_id", *_SHOWN)
+    return _tags(spark, sf_dir, matching.LONGEST, "join").selectExpr("doc_id", *_SHOWN)
 
 
 def tag_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagger(spark).tag(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).select("conv_id", "turn", *_SHOWN)
+    return _tagger(spark).tag(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).selectExpr("conv_id", "turn", *_SHOWN)
 
 
 def tag_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passages(spark, sf_dir).tag(_table(spark, sf_dir, "documents"), ["doc_id"], policy=matching.ALL).select("doc_id", *_SHOWN)
+    return _passages(spark, sf_dir).tag(_table(spark, sf_dir, "documents"), ["doc_id"], policy=matching.ALL).selectExpr("doc_id", *_SHOWN)
 
 
 def solr_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
