@@ -9,11 +9,12 @@ and OTHER. Four small transducers relabel the symbols and are composed into one
 * threat turns a threat word into a threat only when a target follows within four words.
 
 A run through the table scores a clause: the weights of its matches, each times the weights of its
-marks. A document's evidence is its strongest clause and the sum over clauses, which a logistic
-model turns into a probability.
+marks. A document's evidence is its strongest clause, the sum over clauses, their number and the
+length of the text, which a logistic model turns into a probability: a stem that now and then stands in
+clean texts counts where it is dense.
 
 Insult weights beyond the seed list come from the labels: words, and beginnings of words (so that
-inflected forms of a stem count alike), whose log odds for toxic documents stay high after two and a half
+inflected forms of a stem count alike), whose log odds for toxic documents stay high after two
 standard errors are taken off. The fit uses a bounded, documented sample (``SAMPLE`` labelled rows
 of each class, by a hash of their ids); its lexicon has at most ``LEXICON`` entries, the strongest.
 
@@ -145,7 +146,7 @@ def tokens(text: str | None) -> list[str]:
 class Grammar:
     words: dict[str, float]
     stems: dict[str, float]
-    coef: tuple[float, float, float] = (1.0, 1.0, -2.0)
+    coef: tuple[float, ...] = (1.0, 1.0, 0.0, 0.0, -2.0)
     cut: float = 0.0
     threshold: float = 0.7
     _seen: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
@@ -164,11 +165,14 @@ class Grammar:
 
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses that have any."""
+        return self._run(tokens(text))
+
+    def _run(self, found: list[str]) -> list[float]:
         seen, out = self._seen, []
         if len(seen) > 300_000:
             seen.clear()
         marked = []
-        for t in tokens(text):
+        for t in found:
             s = seen.get(t)
             if s is None:
                 s = seen[t] = self.symbol(t)
@@ -192,13 +196,16 @@ class Grammar:
             out.append(total)
         return out
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        c = self.clauses(text)
-        return (max(c), math.log1p(sum(c))) if c else (0.0, 0.0)
+    def evidence(self, text: str | None) -> tuple[float, float, float, float]:
+        found = tokens(text)
+        c = self._run(found)
+        return max(c, default=0.0), math.log1p(sum(c)), math.log1p(len(c)), math.log(30 + len(found))
+
+    def logit(self, evidence: np.ndarray) -> np.ndarray:
+        return evidence @ np.array(self.coef[:-1]) + self.coef[-1]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        a, b, c = self.coef
-        return shifted(a * evidence[:, 0] + b * evidence[:, 1] + c, self.cut, self.threshold)
+        return shifted(self.logit(evidence), self.cut, self.threshold)
 
 
 _CLASSES = {w: k for k, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
@@ -240,7 +247,7 @@ def lexicon(picked: DataFrame, least: int = 3, floor: float = 1.5) -> tuple[dict
     for entry, t in toxic.items():
         c = clean.get(entry, 0)
         odds = math.log((t + 0.5) / (sizes[1] - t + 0.5)) - math.log((c + 0.5) / (sizes[0] - c + 0.5))
-        low = odds - 2.5 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        low = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
         if low > floor:
             bound[entry] = low
     best = sorted(bound, key=lambda e: (-bound[e], e))[:LEXICON]
@@ -255,12 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", thresho
     rows = collect_rows(_with_evidence(picked, grammar, ["doc_id", "y"]))
     y = np.array([r["y"] for r in rows], int)
     if len(set(y.tolist())) == 2:
-        x = np.array([(r["strongest"], r["total"]) for r in rows])
+        x = np.array([r["evidence"] for r in rows])
         prior = base_rate(labels, label, train)
         weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
         grammar.coef = tuple(map(float, logistic(x, y.astype(float), weight)))
-        a, b, c = grammar.coef
-        grammar.cut = best_cut(a * x[:, 0] + b * x[:, 1] + c, y)
+        grammar.cut = best_cut(grammar.logit(x), y)
     return grammar
 
 
@@ -268,10 +274,9 @@ def _with_evidence(docs: DataFrame, grammar: Grammar, keys: list[str]) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        found = [held.value.evidence(t) for t in texts]
-        return [pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())]
+        return [pa.array([held.value.evidence(t) for t in texts], pa.list_(pa.float64()))]
 
-    return map_texts(docs, keys, run, "strongest double, total double")
+    return map_texts(docs, keys, run, "evidence array<double>")
 
 
 def score(docs: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
@@ -280,7 +285,7 @@ def score(docs: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         g = held.value
-        return [pa.array(g.score(np.array([g.evidence(t) for t in texts]).reshape(-1, 2)))]
+        return [pa.array(g.score(np.array([g.evidence(t) for t in texts]).reshape(-1, 4)))]
 
     return map_texts(docs, keys, run, "score double")
 
