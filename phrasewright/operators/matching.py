@@ -124,7 +124,11 @@ def tokens(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def joined(texts: DataFrame, keys: list[str], text: str, records: DataFrame, policy: str) -> DataFrame:
-    """The plan for dictionaries of any size: n-grams of the existing lengths joined by key."""
+    """The plan for dictionaries of any size: n-grams of the existing lengths joined by key.
+
+    Rows are told apart by their place in the input, which is read twice: it must give the same partitions
+    again, as files and tables do.
+    """
     lengths = sorted(r[0] for r in records.select("n_tokens").distinct().collect())
     words = F.split(fold_column(F.array_join(F.col("_raw"), " ")), " ")
     rows = texts.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("_key"), F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text"))
