@@ -42,7 +42,7 @@ from ._common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Links that a worker remembers (twice as many, in two generations).
-_REMEMBER = 300_000
+_REMEMBER = 200_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = ".,;:!?%$#&*|<>()[]{}\"'/-+="
 
