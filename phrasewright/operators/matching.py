@@ -61,6 +61,13 @@ def match(text: str, trie: Trie, policy: str) -> Iterator[tuple[int, int, list]]
             i += 1
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts from fewer files than there are cores are dealt out over the cores first; others stay
+    where they are read, so that a large corpus isn't shuffled."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if not texts.isStreaming and 0 < len(texts.inputFiles()) < cores else texts
+
+
 def _schema(rows: DataFrame, added: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), added])
 
@@ -71,7 +78,7 @@ TAG = "seq int, start long, end long, surface string, id string, kind string, ou
 def kernel(texts: DataFrame, keys: list[str], text: str, records: DataFrame, policy: str) -> DataFrame:
     listed = [(r["key"], r["kind"], r["id"], r["output"]) for r in records.orderBy("ord").collect()]
     held = texts.sparkSession.sparkContext.broadcast(build_trie(listed))
-    rows = texts.select(*keys, F.col(text).alias("_text"))
+    rows = spread(texts.select(*keys, F.col(text).alias("_text")))
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +115,7 @@ def kernel(texts: DataFrame, keys: list[str], text: str, records: DataFrame, pol
 
 def tokens(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys``, i, tok, start, end of every token; one pass, no shuffle."""
-    rows = texts.select(*keys, F.col(text).alias("_text"))
+    rows = spread(texts.select(*keys, F.col(text).alias("_text")))
     n, names = len(keys), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

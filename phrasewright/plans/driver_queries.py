@@ -52,7 +52,7 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(key_column(F.col("text")), "utf-8")).alias("key_md5"))
+    return matching.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(F.encode(key_column(F.col("text")), "utf-8")).alias("key_md5"))
 
 
 def dict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
