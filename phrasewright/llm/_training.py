@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_texts
 from ._common import cut
 
 #: Labelled rows of each class that a model is fitted on, at most.
@@ -82,5 +81,3 @@ def collect_rows(df: DataFrame) -> list:
     """A bounded sample's rows, in an order that a rerun gives again."""
     return sorted(df.collect(), key=lambda r: r["doc_id"])
 
-
-__all__ = ["SAMPLE", "base_rate", "best_cut", "collect_rows", "fold", "logistic", "map_texts", "sample", "shifted", "sigmoid"]
