@@ -8,9 +8,10 @@ below subtries of KEY_BITS bits that agree; and a pair that meets there is a lin
 fingerprints differ in few enough bits for the similarity. Two texts at 0.8 meet in some probe with
 probability 0.98, at 0.85 above 0.99; unrelated ones differ in half of all bits and are no link.
 
-Links leave a task as a spanning forest. A large subtrie is first gathered around pivots: rows
-within the limit of a pivot are linked to it at once, and pairs between two such rows are never
-looked at, so that a family of thousands of near copies costs no square of its size.
+Links leave a task as a spanning forest. A large subtrie is first gathered around pivots: rows that
+meet a pivot by the same rule as any pair (word within the radius, fingerprint within the limit) are
+linked to it at once, and pairs between two such rows are never looked at, so that a family of
+thousands of near copies costs no square of its size. What is connected doesn't depend on the size.
 
 Cases: as in ``simhash_dedup``. Texts without words are all alike; ``keep_one`` keeps the row with the
 smallest doc_id of each class (null last, then by text), once if it is repeated.
@@ -77,13 +78,14 @@ def _distance(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
 
 
-def _pivots(prints: np.ndarray, limit: int) -> np.ndarray:
+def _pivots(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> np.ndarray:
     """For each row the row of the pivot it is linked to, or -1."""
     n = len(prints)
     pivot = np.full(n, -1)
     rest = np.arange(n)
     while len(rest):
         near = _distance(prints, rest, np.full(len(rest), rest[0])) <= limit
+        near &= np.bitwise_count(v[rest] ^ v[rest[0]]) <= radius
         if near.sum() < max(2, n // 32):
             break
         pivot[rest[near]] = rest[0]
@@ -108,7 +110,7 @@ def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) ->
     n = len(v)
     if n <= LARGE:
         return _forest(n, met(np.arange(n)))
-    pivot = _pivots(prints, limit)
+    pivot = _pivots(v, prints, limit, radius)
     rest = np.flatnonzero(pivot == -1)
     groups = [np.flatnonzero(pivot == p) for p in np.unique(pivot[pivot >= 0])]
 

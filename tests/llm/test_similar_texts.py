@@ -93,3 +93,15 @@ def test_subtries_small_and_large(monkeypatch):
 
 def test_limit():
     assert S.most_bits(1.0) == 0 and 38 < S.most_bits(0.8) < 50
+
+
+def test_links_do_not_depend_on_the_size_of_a_subtrie(monkeypatch):
+    rng = np.random.default_rng(6)
+    for large in (10**6, 10):
+        monkeypatch.setattr(S, "LARGE", large)
+        for _ in range(6):
+            base = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
+            prints = base[rng.integers(0, 3, 120)] ^ (np.uint64(1) << rng.integers(0, 63, (120, 4)).astype(np.uint64))
+            words = np.sort(rng.integers(0, 2**22, 120)).astype(np.uint64)  # most are too far apart for a link
+            root = S._link_subtrie(words << np.uint64(32), prints, 8, 3)
+            assert root.tolist() == brute(words, prints, 8, 3)
