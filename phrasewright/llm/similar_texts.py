@@ -1,14 +1,21 @@
-"""Near-duplicates at a similarity, by SimHash and trie self-joins of probe words.
-
-Texts are compared by shingles of five words. At a Jaccard similarity of 0.8 two SimHash
-fingerprints still differ in 15 % of their bits: far more than a trie join of the whole fingerprint
-could allow for. So each fingerprint of 256 bits lends PROBES words of 32 bits each (fixed random
-choices of its bits); each probe's words are joined by a trie self-join within PROBE_RADIUS bits,
-below subtries of KEY_BITS bits that agree; and a pair that meets there is a link only if the whole
-fingerprints differ in few enough bits for the similarity. Two texts at 0.8 meet in some probe with
-probability 0.98, at 0.85 above 0.99; unrelated ones differ in half of all bits and are no link.
-
-Links leave a task as a spanning forest. A large subtrie is first gathered around pivots: rows that
+"""Near-duplicates at a similarity: candidates by SimHash and trie self-joins of probe words, then
+the exact Jaccard similarity.
+
+Texts are compared by shingles of five words; texts with the same set of shingles are one node. At a
+Jaccard similarity of 0.8 two SimHash fingerprints still differ in 15 % of their bits: far more than a
+trie join of the whole fingerprint could allow for. So each fingerprint of 256 bits lends PROBES words
+of 32 bits each (fixed random choices of its bits); each probe's words are joined by a trie self-join
+within PROBE_RADIUS bits, below subtries of KEY_BITS bits that agree; and a pair that meets there is a
+candidate if the whole fingerprints differ in at most three standard deviations more bits than texts
+of the similarity do. By the binomial model a pair at 0.8 is a candidate with probability 0.991, at
+0.85 above 0.999.
+
+Candidates are no verdict: a pair is a link only if the Jaccard similarity of its sets of shingles is
+high enough. Two passes spare the square of a family of near copies. The first compares each
+node with its nearest candidate of each subtrie; the second compares all candidates that the
+links of the first don't connect yet. Classes are thus those of all candidates that are similar enough.
+
+Which nodes have a candidate at all is found as a spanning forest. A large subtrie is first gathered around pivots: rows that
 meet a pivot by the same rule as any pair (word within the radius, fingerprint within the limit) are
 linked to it at once, and pairs between two such rows are never looked at, so that a family of
 thousands of near copies costs no square of its size. What is connected doesn't depend on the size.
@@ -21,11 +28,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts
@@ -37,11 +45,19 @@ from .simhash_dedup import PIECE, _forest, traverse
 BITS = 256
 SHINGLE = 5
 SIMILARITY = 0.8
-PROBES = 40
+PROBES = 80
 KEY_BITS = 10
 PROBE_RADIUS = 3
+#: Standard deviations that a candidate's differing bits may lie above the mean.
+SLACK = 3.0
 #: Rows of a subtrie above which pivots come first.
 LARGE = 512
+#: Rows of one label in a subtrie above which pairs among them are not even looked at.
+MANY = 64
+#: Bytes of a node: its fingerprint and a hash of its set of shingles.
+NODE = BITS // 8 + 8
+#: Pairs whose bits are unpacked at once.
+_PAIRS = 1 << 12
 
 
 def most_bits(similarity: float, slack: float = 1.25) -> int:
@@ -56,22 +72,32 @@ def probe_bits() -> np.ndarray:
     return np.stack([rng.permutation(BITS)[:32] for _ in range(PROBES)])
 
 
-def with_prints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, h (a hash of the text) and fingerprint (binary, of the distinct shingles) of every row."""
+def node(shingles: np.ndarray) -> bytes:
+    """Fingerprint and hash of a set of shingles (distinct and sorted)."""
+    return long_fingerprint(shingles) + xxhash.xxh64_digest(shingles.tobytes())
+
+
+def with_nodes(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, h (a hash of the text) and node (binary, of the distinct shingles) of every row."""
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), "text")
-    return map_texts(rows, ["doc_id", "h"], lambda texts: [pa.array([long_fingerprint(np.unique(shingle_hashes(t, words))) for t in texts], pa.binary())], "fingerprint binary")
+    return map_texts(rows, ["doc_id", "h"], lambda texts: [pa.array([node(np.unique(shingle_hashes(t, words))) for t in texts], pa.binary())], "node binary")
+
+
+def _prints(nodes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(nodes), np.uint64).reshape(-1, NODE // 8)[:, : BITS // 64]
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fingerprint) to (t, word, fingerprint), one row a probe."""
+    """(node, ...) to (t, word, node, ...), one row a probe."""
     places = probe_bits()
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            prints = batch.column(0).slice(at, 4096)
-            bits = np.unpackbits(np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
+            part = batch.slice(at, 4096)
+            bits = np.unpackbits(np.ascontiguousarray(_prints(part.column(0).to_pylist())).view(np.uint8), axis=1)
             words = [np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(">u4").ravel().astype(np.int64) for p in places]
             n = len(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(PROBES, dtype=np.int32), n)), pa.array(np.concatenate(words)), pa.concat_arrays([prints] * PROBES)], ["t", "word", "fingerprint"])
+            cols = [pa.array(np.repeat(np.arange(PROBES, dtype=np.int32), n)), pa.array(np.concatenate(words)), *(pa.concat_arrays([c] * PROBES) for c in part.columns)]
+            yield pa.RecordBatch.from_arrays(cols, ["t", "word", *part.schema.names])
 
 
 def _distance(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -93,19 +119,23 @@ def _pivots(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> np.nd
     return pivot
 
 
+def _met(v: np.ndarray, prints: np.ndarray, limit: int, radius: int, x: np.ndarray, y: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates between the rows x and y of one subtrie, or among x. v: the words, in the upper half of 64 bits, sorted."""
+    vx = v[x]
+    vy = vx if y is None else v[y]
+    whole = tuple(np.array([k]) for k in (0, len(vx), 0, len(vy)))
+    other = x if y is None else y
+    for i, j in traverse(vx, vy, KEY_BITS, whole, radius, 32):
+        i, j = x[i], other[j]
+        near = _distance(prints, i, j) <= limit
+        yield i[near], j[near]
+
+
 def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> np.ndarray:
-    """The smallest index each row of one subtrie is connected with. v: the words, in the upper half of 64 bits, sorted."""
+    """The smallest index each row of one subtrie is connected with by candidates."""
 
     def met(x: np.ndarray, y: np.ndarray | None = None):
-        """Links between the rows x and y, or among x."""
-        vx = v[x]
-        vy = vx if y is None else v[y]
-        whole = tuple(np.array([k]) for k in (0, len(vx), 0, len(vy)))
-        other = x if y is None else y
-        for i, j in traverse(vx, vy, KEY_BITS, whole, radius, 32):
-            i, j = x[i], other[j]
-            near = _distance(prints, i, j) <= limit
-            yield i[near], j[near]
+        return _met(v, prints, limit, radius, x, y)
 
     n = len(v)
     if n <= LARGE:
@@ -128,20 +158,96 @@ def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) ->
     return _forest(n, pairs())
 
 
-def _link(limit: int, radius: int):
-    def whole(t, word, prints) -> Iterator[pa.RecordBatch]:
+def _nearest(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one subtrie that have a candidate, and the nearest one of each (a row gathered by a pivot
+    of a large subtrie: the pivot, or a nearer one among the rows that no pivot gathered)."""
+    n = len(v)
+    mate, best = np.full(n, -1), np.full(n, BITS + 1)
+    pivot = _pivots(v, prints, limit, radius) if n > LARGE else np.full(n, -1)
+    own, rest = np.flatnonzero((pivot >= 0) & (pivot != np.arange(n))), np.flatnonzero(pivot == -1)
+    mate[own], best[own] = pivot[own], _distance(prints, own, pivot[own])
+    gathered = np.flatnonzero(pivot >= 0)
+    across = _met(v, prints, limit, radius, rest, gathered) if len(gathered) and len(rest) else ()
+    for i, j in chain(_met(v, prints, limit, radius, rest) if len(rest) > 1 else (), across):
+        i, j = np.r_[i, j], np.r_[j, i]
+        d = _distance(prints, i, j)
+        order = np.lexsort((j, d, i))
+        order = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
+        i, j, d = i[order], j[order], d[order]
+        nearer = d < best[i]
+        mate[i[nearer]], best[i[nearer]] = j[nearer], d[nearer]
+    some = np.flatnonzero(mate >= 0)
+    return some, mate[some]
+
+
+def _across(v: np.ndarray, prints: np.ndarray, label: np.ndarray, limit: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidates of one subtrie whose labels differ."""
+    values, of, n = np.unique(label, return_inverse=True, return_counts=True)
+    groups = [np.flatnonzero(of == k) for k in np.flatnonzero(n > MANY)]
+    rest = np.flatnonzero(n[of] <= MANY)
+    if len(rest) > 1:
+        for i, j in _met(v, prints, limit, radius, rest):
+            apart = of[i] != of[j]
+            yield i[apart], j[apart]
+    for k, g in enumerate(groups):
+        for other in [rest, *groups[k + 1 :]]:
+            if len(other):
+                yield from _met(v, prints, limit, radius, other, g)
+
+
+def _first_met(t: int, prints: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Whether probe t is the first that a pair meets in."""
+    places = probe_bits()[:t]
+    first = np.ones(len(i), bool)
+    for at in range(0, len(i) if t else 0, _PAIRS):
+        x = np.ascontiguousarray(prints[i[at : at + _PAIRS]] ^ prints[j[at : at + _PAIRS]])
+        bits = np.unpackbits(x.view(np.uint8), axis=1)
+        for p in places:
+            own = bits[:, p]
+            first[at : at + _PAIRS] &= own[:, :KEY_BITS].any(axis=1) | (own.sum(axis=1) > radius)
+    return first
+
+
+def _roots(limit: int, radius: int):
+    def find(t, v, prints, label):
+        root = _link_subtrie(v, prints, limit, radius)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        yield linked, root[linked]
+
+    return find
+
+
+def _mates(limit: int, radius: int):
+    return lambda t, v, prints, label: [_nearest(v, prints, limit, radius)]
+
+
+def _others(limit: int, radius: int):
+    def find(t, v, prints, label):
+        for i, j in _across(v, prints, label, limit, radius):
+            if len(i):
+                first = _first_met(t, prints, i, j, radius)
+                yield i[first], j[first]
+
+    return find
+
+
+def _in_subtries(find):
+    """Pairs of nodes that ``find`` makes of each subtrie's probe, words, fingerprints and labels (if there are any)."""
+
+    def whole(t, word, label, nodes) -> Iterator[pa.RecordBatch]:
         key = (t.astype(np.int64) << 32) | (word >> (32 - KEY_BITS))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         a, b = [], []
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            raw = prints[s:e]
-            four = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, BITS // 64)
+            raw = nodes[s:e]
             v = word[s:e].astype(np.uint64) << np.uint64(32)
-            root = _link_subtrie(v, four, limit, radius)
-            for i in np.flatnonzero(root != np.arange(e - s)).tolist():
-                a.append(raw[i])
-                b.append(raw[root[i]])
+            for i, j in find(int(t[s]), v, _prints(raw), label[s:e]):
+                a += [raw[k] for k in i.tolist()]
+                b += [raw[k] for k in j.tolist()]
+                if len(a) > PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -150,44 +256,89 @@ def _link(limit: int, radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()))
+            t, word = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            label = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else np.zeros(len(t), np.int64)
+            held.append((t, word, label, batch.column(2).to_pylist()))
             if sum(len(x[0]) for x in held) < PIECE:
                 continue
-            t, word, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [p for x in held for p in x[2]]
+            t, word, label = (np.concatenate([x[k] for x in held]) for k in range(3))
+            nodes = [p for x in held for p in x[3]]
             last = np.flatnonzero((t != t[-1]) | (word >> (32 - KEY_BITS) != word[-1] >> (32 - KEY_BITS)))
             done = int(last[-1]) + 1 if len(last) else 0
-            held = [(t[done:], word[done:], prints[done:])]
+            held = [(t[done:], word[done:], label[done:], nodes[done:])]
             if done:
-                yield from whole(t[:done], word[:done], prints[:done])
+                yield from whole(t[:done], word[:done], label[:done], nodes[:done])
         if held:
-            yield from whole(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [p for x in held for p in x[2]])
+            yield from whole(*(np.concatenate([x[k] for x in held]) for k in range(3)), [p for x in held for p in x[3]])
 
     return run
 
 
-def links(prints: DataFrame, similarity: float = SIMILARITY, radius: int = PROBE_RADIUS) -> DataFrame:
-    """prints: (fingerprint binary), distinct. A table (a, b) that connects what the probes find."""
-    probed = prints.select("fingerprint").mapInArrow(_probes, "t int, word long, fingerprint binary")
+def _pairs(nodes: DataFrame, find) -> DataFrame:
+    """nodes: (node binary) or (node binary, label long), nodes distinct. A table (a, b) of what ``find`` finds."""
+    added = "".join(f", {f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    probed = nodes.mapInArrow(_probes, f"t int, word long{added}")
     key = F.shiftright("word", 32 - KEY_BITS)
-    dealt = probed.repartition(parts_of(prints), "t", key).sortWithinPartitions("t", "word")
-    return dealt.mapInArrow(_link(most_bits(similarity), radius), "a binary, b binary")
+    dealt = probed.repartition(parts_of(nodes), "t", key).sortWithinPartitions("t", "word")
+    return dealt.mapInArrow(_in_subtries(find), "a binary, b binary")
+
+
+def _row_key(doc_id: Column, h: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), h.cast("string"))
+
+
+def _least() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+
+
+def _shingles(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and its set of shingles, for ``nodes``; one text a node is read."""
+    least = rows.join(nodes, "node", "left_semi").groupBy("node").agg(_least().alias("x"))
+    keys = cut(least.select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key")).distinct())
+    texts = docs.select(_row_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), "text").join(keys, "key", "left_semi")
+
+    def sets(texts: list[str | None]) -> list[pa.Array]:
+        found = [np.unique(shingle_hashes(t, words)) for t in texts]
+        return [pa.array([node(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+
+    return map_texts(texts, [], sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have this Jaccard similarity at least."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return once.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+
+def links(docs: DataFrame, rows: DataFrame, similarity: float, words: int, radius: int = PROBE_RADIUS) -> DataFrame:
+    """rows: ``with_nodes`` of docs. A table (a, b) that connects the candidates that are similar enough."""
+    limit = most_bits(similarity, SLACK)
+    found = _pairs(cut(rows.select("node").distinct()), _roots(limit, radius))
+    nodes = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = cut(_shingles(docs, rows, nodes, words))
+    first = cut(_alike(_pairs(nodes, _mates(limit, radius)), sets, similarity))
+    labels = components(first).select(F.col("node").alias("f"), "root")
+    labelled = nodes.join(labels, F.col("node") == F.col("f"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+    return first.unionByName(cut(_alike(_pairs(cut(labelled), _others(limit, radius)), sets, similarity)))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
-    """doc_id, h, fingerprint and class (the smallest fingerprint connected) of every row."""
-    rows = cut(with_prints(docs, words))
-    prints = cut(rows.select("fingerprint").distinct())
-    found = components(links(prints, similarity)).select(F.col("node").alias("f"), F.col("root").alias("class"))
-    named = cut(prints.join(found, F.col("fingerprint") == F.col("f"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("class", "fingerprint").alias("class")))
-    return rows.join(named, F.col("fingerprint") == F.col("f")).drop("f")
+    """doc_id, h, node and class (the smallest node connected) of every row."""
+    rows = cut(with_nodes(docs, words))
+    found = components(links(docs, rows, similarity, words)).select(F.col("node").alias("f"), F.col("root").alias("class"))
+    named = rows.select("node").distinct().join(found, F.col("node") == F.col("f"), "left")
+    named = cut(named.select(F.col("node").alias("f"), F.coalesce("class", "node").alias("class")))
+    return rows.join(named, F.col("node") == F.col("f")).drop("f")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay, one a class, with the columns of ``docs``. Texts are shuffled once."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
-    stay = classes(docs, similarity, words).groupBy("class").agg(least.alias("x")).select(key(F.col("x.doc_id"), F.col("x.h")).alias("key"))
+    """The rows of ``docs`` that stay, one a class, with the columns of ``docs``. Texts are shuffled
+    twice: to compare candidates, and to return rows."""
+    stay = classes(docs, similarity, words).groupBy("class").agg(_least().alias("x")).select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key"))
     stay = cut(stay.distinct())
-    rows = docs.select(key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(_row_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     return rows.join(stay, "key", "left_semi").withColumn("turn", turn).where("turn = 1").select("row.*")

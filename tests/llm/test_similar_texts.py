@@ -105,3 +105,56 @@ def test_links_do_not_depend_on_the_size_of_a_subtrie(monkeypatch):
             words = np.sort(rng.integers(0, 2**22, 120)).astype(np.uint64)  # most are too far apart for a link
             root = S._link_subtrie(words << np.uint64(32), prints, 8, 3)
             assert root.tolist() == brute(words, prints, 8, 3)
+
+
+def test_only_texts_at_the_similarity_are_linked(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):  # a text, and copies of it at 0.6 to 0.9
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(base), *(near_copies(rng, base, edits) for edits in (2, 6, 7, 8))]
+    got = {r.doc_id: r["class"] for r in S.classes(frame(spark, texts)).collect()}
+    like = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i - i % 5, i)}
+    root = list(range(len(texts)))
+    for (i, j), x in like.items():
+        if x >= 0.8:
+            old, new = root[i], root[j]
+            root = [new if r == old else r for r in root]
+    classes = lambda of: {tuple(i for i in range(len(texts)) if of[i] == c) for c in {of[i] for i in range(len(texts))}}
+    assert sum(0.65 <= x < 0.8 for x in like.values()) > 100
+    assert classes(got) == classes(root)
+
+
+def some_prints(rng):
+    base = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    prints = base[rng.integers(0, 3, 150)] ^ (np.uint64(1) << rng.integers(0, 63, (150, 4)).astype(np.uint64))
+    words = np.sort(rng.integers(0, 2**22, 150)).astype(np.uint64)
+    meet = {(i, j) for i in range(150) for j in range(150) if i != j and int(words[i] ^ words[j]).bit_count() <= 5 and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 8}
+    return words << np.uint64(32), prints, meet
+
+
+def test_candidates_of_a_subtrie(monkeypatch):
+    rng = np.random.default_rng(8)
+    for large in (10**6, 10):
+        monkeypatch.setattr(S, "LARGE", large)
+        monkeypatch.setattr(S, "MANY", large)
+        for _ in range(5):
+            v, prints, meet = some_prints(rng)
+            i, j = S._nearest(v, prints, 8, 5)
+            assert set(zip(i.tolist(), j.tolist())) <= meet
+            assert {*i.tolist(), *j.tolist()} == {i for i, _ in meet}
+            label = rng.integers(0, 6, 150)
+            found = [tuple(sorted(p)) for i, j in S._across(v, prints, label, 8, 5) for p in zip(i.tolist(), j.tolist())]
+            assert len(found) == len(set(found))
+            assert set(found) == {(i, j) for i, j in meet if i < j and label[i] != label[j]}
+
+
+def test_a_pair_comes_from_its_first_probe():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (1, 4)).astype(np.uint64)
+    prints = np.repeat(base, 40, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (40, 4)).astype(np.uint64))
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    i, j = np.triu_indices(40, 1)
+    meet = np.stack([~(x := bits[i][:, p] ^ bits[j][:, p])[:, : S.KEY_BITS].any(axis=1) & (x.sum(axis=1) <= 3) for p in S.probe_bits()])
+    for t in (0, 1, 7):
+        assert S._first_met(t, prints, i, j, 3).tolist() == (~meet[:t].any(axis=0)).tolist()
