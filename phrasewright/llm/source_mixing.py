@@ -29,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_RE, cut, documents, parts_of, split_words, text_of
+from ._common import WORD_RE, cut, documents, parts_of, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: The places where words end and white space begins.
+WORD_END_RE = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def n_words(text: Column) -> Column:
@@ -145,7 +147,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixed corpus: ``docs`` with each row as often as it is taken.
 
-    A cut copy is the text's first words, with one space between; n_chars follows. Texts without
+    A cut copy is the text up to the end of its last word taken, as it stands; n_chars follows. Texts without
     words aren't taken. Texts are shuffled once, to meet what is taken of them; rows with the same
     id and text are dealt their shares in turn.
     """
@@ -158,7 +160,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     out = met.select("row", F.explode(copies).alias("first"))
-    cut_text = F.array_join(F.slice(split_words(F.col("row.text")), F.lit(1), F.col("first").cast("int")), " ")
+    pieces = F.split(F.col("row.text").cast("string"), WORD_END_RE)  # each a word and the white space before it
+    cut_text = F.array_join(F.slice(pieces, F.lit(1), F.col("first").cast("int")), "")
     out = out.select("row", "first", F.when(F.col("first") > 0, cut_text).otherwise(F.col("row.text")).alias("new"))
     value = {"text": F.col("new")}
     if "n_chars" in docs.columns:

@@ -81,3 +81,10 @@ def test_mix_writes_what_is_taken(spark):
     want = goals({r.source: r.n for r in df.groupBy("source").agg(F.sum(M.n_words(M.text_of())).alias("n")).collect()})
     assert {r.source: r.n for r in words} == {s: round(t) for s, t in want.items() if round(t)}
     assert M.mix(df.limit(0)).count() == 0
+
+
+def test_a_cut_copy_is_the_text_as_it_stands(spark):
+    texts = [f"\n t{i}\n\n" + " \tw\n".join(f"v{k}" for k in range(20 + i)) + "\n" for i in range(30)]
+    rows = M.mix(frame(spark, texts, 0, lambda i: f"s{i // 2}")).collect()
+    cut = [r for r in rows if r.text != texts[r.doc_id]]
+    assert cut and all(texts[r.doc_id].startswith(r.text) and r.text.rstrip() == r.text and r.n_chars == len(r.text) for r in cut)
