@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import SEPARATOR, TOKEN, fold_column, tokenize
@@ -154,15 +154,16 @@ def joined(texts: DataFrame, keys: list[str], text: str, records: DataFrame, pol
         start = F.struct(F.lit(0).alias("free"), F.array().alias("kept")).cast(kind)
         step = lambda a, h: F.when(h["i"] >= a["free"], F.struct((h["i"] + h["n"]).alias("free"), F.concat(a["kept"], F.array(h)).alias("kept"))).otherwise(a)
         per_text = per_text.withColumn("_hits", F.aggregate("_hits", start, step)["kept"])
-    picked = rows.join(per_text, "_rid").select("_key", "_text", "_hits", "_raw", F.split("_text", TOKEN).alias("_gaps"))
+    picked = rows.join(per_text, "_rid").select("_rid", "_key", "_text", "_hits", "_raw", F.split("_text", TOKEN).alias("_gaps"))
     spans = F.transform("_hits", lambda h: F.struct(
         h["key"].alias("key"), h["i"].alias("i"), h["n"].alias("n"),
         (_bytes(F.slice(F.col("_gaps"), F.lit(1), h["i"] + 1)) + _bytes(F.slice(F.col("_raw"), F.lit(1), h["i"]))).alias("start"),
         (_bytes(F.slice(F.col("_gaps"), F.lit(1), h["i"] + h["n"])) + _bytes(F.slice(F.col("_raw"), F.lit(1), h["i"] + h["n"]))).alias("end"),
     ))
-    each = picked.select("_key", F.encode("_text", "utf-8").alias("_utf8"), F.explode(spans).alias("s"))
-    each = each.select("_key", "s.*", F.decode(F.substring(F.col("_utf8"), F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")), "utf-8").alias("surface"))
-    return each.join(records, "key").select("_key.*", "i", "n", "ord", "start", "end", "surface", "id", "kind", "output")
+    each = picked.select("_rid", "_key", F.encode("_text", "utf-8").alias("_utf8"), F.explode(spans).alias("s"))
+    each = each.select("_rid", "_key", "s.*", F.decode(F.substring(F.col("_utf8"), F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")), "utf-8").alias("surface"))
+    place = F.row_number().over(Window.partitionBy("_rid").orderBy("i", "n", "ord")) - 1
+    return each.join(records, "key").withColumn("seq", place).select("_key.*", "seq", "start", "end", "surface", "id", "kind", "output")
 
 
 def _grams(words: Column, n: int) -> Column:

@@ -55,8 +55,8 @@ class Tagger:
         return [r["kind"] for r in dictionary.kinds(self.records).collect()]
 
     def tag(self, texts: DataFrame, keys: list[str], text: str = "text", policy: str = LONGEST, plan: str | None = None) -> DataFrame:
-        """Tags of every text: ``keys``, start, end, surface, id, kind, output, and their order: seq
-        (kernel) or i, n, ord (join). The plan follows the dictionary's size unless it is named."""
+        """Tags of every text: ``keys``, start, end, surface, id, kind, output, and their order: seq.
+        The plan follows the dictionary's size unless it is named."""
         if policy not in (ALL, LONGEST):
             raise ValueError(f"policy must be {ALL!r} or {LONGEST!r}")
         plan = plan or ("kernel" if self.record_count() <= matching.MAX_RECORDS else "join")

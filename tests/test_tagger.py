@@ -194,3 +194,14 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert main([], stderr=err) == 2 and main([str(tmp_path / "missing.tsv")], stderr=err) == 1
     out = io.StringIO()
     assert main([str(tmp_path / "d.tsv")], stdin=io.StringIO("new york"), stdout=out, stderr=err) == 0 and out.getvalue().startswith("0\t8\t")
+
+
+def test_both_plans_number_the_tags(spark):
+    t = Tagger.build(spark, [("a b", "x", "1"), ("b c", "y", "2"), ("a", "x", "3"), ("A b", "z", "4"), ("c", "x", "5")])
+    df = texts(spark, "a b c a-b, A b c", "b c b", "")
+    for policy in ("all", "longest"):
+        of = {plan: t.tag(df, ["k"], policy=policy, plan=plan) for plan in ("kernel", "join")}
+        assert of["join"].columns == of["kernel"].columns
+        assert sorted(of["join"].collect()) == sorted(of["kernel"].collect())
+        lines = [sorted(formats.tsv_lines(x, ["k"]).collect()) for x in of.values()]
+        assert lines[0] == lines[1] and lines[0]
