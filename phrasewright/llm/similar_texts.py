@@ -11,14 +11,15 @@ of the similarity do. By the binomial model a pair at 0.8 is a candidate with pr
 0.85 above 0.999.
 
 Candidates are no verdict: a pair is a link only if the Jaccard similarity of its sets of shingles is
-high enough. Two passes spare the square of a family of near copies. The first compares each
+high enough. Two passes spare pairs of a family whose nearest members are similar enough (in other
+families the pairs compared still grow with the square of the size). The first compares each
 node with its nearest candidate of each subtrie; the second compares all candidates that the
 links of the first don't connect yet. Classes are thus those of all candidates that are similar enough.
 
 Which nodes have a candidate at all is found as a spanning forest. A large subtrie is first gathered around pivots: rows that
 meet a pivot by the same rule as any pair (word within the radius, fingerprint within the limit) are
 linked to it at once, and pairs between two such rows are never looked at, so that a family of
-thousands of near copies costs no square of its size. What is connected doesn't depend on the size.
+thousands of near copies costs no square of its size in this search. What is connected doesn't depend on the size.
 
 Cases: as in ``simhash_dedup``. Texts without words are all alike; ``keep_one`` keeps the row with the
 smallest doc_id of each class (null last, then by text), once if it is repeated.
