@@ -3,33 +3,38 @@ the exact Jaccard similarity.
 
 Texts are compared by shingles of five words; texts with the same set of shingles are one node. At a
 Jaccard similarity of 0.8 two SimHash fingerprints still differ in 15 % of their bits: far more than a
-trie join of the whole fingerprint could allow for. So each fingerprint of 256 bits lends PROBES words
+trie join of the whole fingerprint could allow for. So each fingerprint of 256 bits lends probe words
 of 32 bits each (fixed random choices of its bits); each probe's words are joined by a trie self-join
-within PROBE_RADIUS bits, below subtries of KEY_BITS bits that agree; and a pair that meets there is a
+within PROBE_RADIUS bits, below subtries of key bits that agree; and a pair that meets there is a
 candidate if the whole fingerprints differ in at most three standard deviations more bits than texts
-of the similarity do. By the binomial model a pair at 0.8 is a candidate with probability 0.991, at
-0.85 above 0.999.
-
-Candidates are no verdict: a pair is a link only if the Jaccard similarity of its sets of shingles is
-high enough. Two passes spare pairs of a family whose nearest members are similar enough (in other
-families the pairs compared still grow with the square of the size). The first compares each
-node with its nearest candidate of each subtrie; the second compares all candidates that the
-links of the first don't connect yet. Classes are thus those of all candidates that are similar enough.
-
-Which nodes have a candidate at all is found as a spanning forest. A large subtrie is first gathered around pivots: rows that
-meet a pivot by the same rule as any pair (word within the radius, fingerprint within the limit) are
-linked to it at once, and pairs between two such rows are never looked at, so that a family of
-thousands of near copies costs no square of its size in this search. What is connected doesn't depend on the size.
-
-Cases: as in ``simhash_dedup``. Texts without words are all alike; ``keep_one`` keeps the row with the
-smallest doc_id of each class (null last, then by text), once if it is repeated.
+of the similarity do. The key is as wide as it takes to leave about SUBTRIE rows to a subtrie of unlike
+texts, and the number of probes follows from it, so that by the binomial model a pair at the
+similarity is a candidate with probability RECALL at every size (``plan``).
+
+What leaves this search is a spanning forest of the candidates: at most one row a node and probe. A large
+subtrie is first gathered around pivots: rows that meet a pivot by the same rule as any pair (word
+within the radius, fingerprint within the limit) are linked to it at once, and pairs between two such
+rows are never looked at. What is connected doesn't depend on the size.
+
+Candidates are no verdict. The nodes that candidates connect are a family, and within a family a pair is a
+link only if the Jaccard similarity of its whole sets of shingles is high enough. A family is dealt into
+chunks of CHUNK nodes (as many as BYTES of shingles allow), and every two chunks are a block: one
+task compares them, in pieces of bounded size, and hands on a spanning forest of the block's links.
+So no pair is ever a row, a family of any size is spread over tasks, and all its pairs are compared, which
+takes time by the square of the family; large ones have fewer and larger chunks, so that a node is copied
+into few blocks (``chunks_of``). Classes are the components of the links.
+
+Cases: as in ``simhash_dedup``. Very long texts are read whole; their shingles are compared in pieces. Texts
+without words are all alike; ``keep_one`` keeps the row with the smallest doc_id of each class (null
+last, then by text), once if it is repeated.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain, islice
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +51,25 @@ from .simhash_dedup import PIECE, _forest, traverse
 BITS = 256
 SHINGLE = 5
 SIMILARITY = 0.8
-PROBES = 80
+#: Probability by the binomial model that a pair at the similarity is a candidate.
+RECALL = 0.99
+#: Rows of unlike texts that a subtrie is meant to have, and the least bits of its key.
+SUBTRIE = 256
 KEY_BITS = 10
+PROBE_BITS = 32
 PROBE_RADIUS = 3
 #: Standard deviations that a candidate's differing bits may lie above the mean.
 SLACK = 3.0
 #: Rows of a subtrie above which pivots come first.
 LARGE = 512
-#: Rows of one label in a subtrie above which pairs among them are not even looked at.
-MANY = 64
-#: Bytes of a node: its fingerprint and a hash of its set of shingles.
-NODE = BITS // 8 + 8
-#: Pairs whose bits are unpacked at once.
-_PAIRS = 1 << 12
+#: Nodes of a chunk of a family, chunks that a family is dealt into by that rule, and bytes of shingles of a chunk beyond it.
+CHUNK = 128
+MOST_CHUNKS = 24
+BYTES = 16 << 20
+#: Bytes of a node: its fingerprint, a hash of its set of shingles, and the number of these.
+NODE = BITS // 8 + 8 + 8
+#: Shingles of a block that are compared at once.
+_COLUMNS = 1 << 13
 
 
 def most_bits(similarity: float, slack: float = 1.25) -> int:
@@ -68,14 +79,36 @@ def most_bits(similarity: float, slack: float = 1.25) -> int:
     return int(BITS * p + slack * math.sqrt(BITS * p * (1 - p)))
 
 
-def probe_bits() -> np.ndarray:
+@cache
+def plan(n: int, similarity: float, radius: int) -> tuple[int, int]:
+    """Bits of the key and number of probes for n nodes."""
+    key = min(PROBE_BITS - radius, max(KEY_BITS, math.ceil(math.log2(max(1, n) / SUBTRIE))))
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    limit, rest = most_bits(similarity, SLACK), PROBE_BITS - key
+    share = [math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) for d in range(limit + 1)]
+    # the chance to meet in one probe, given the differing bits
+    meet = [(1 - d / BITS) ** key * sum(math.comb(rest, e) * (d / BITS) ** e * (1 - d / BITS) ** (rest - e) for e in range(min(radius, rest) + 1)) for d in range(limit + 1)]
+    goal = min(RECALL, 0.995 * math.fsum(share))
+    probes = 1
+    while math.fsum(s * -math.expm1(probes * math.log1p(-m)) if m < 1 else s for s, m in zip(share, meet)) < goal:
+        probes += 1
+    return key, probes
+
+
+@cache
+def probe_bits(probes: int) -> np.ndarray:
+    """The bits of each probe's word; the first ones are the same for any number of probes."""
     rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(BITS)[:32] for _ in range(PROBES)])
+    return np.stack([rng.permutation(BITS)[:PROBE_BITS] for _ in range(probes)])
 
 
 def node(shingles: np.ndarray) -> bytes:
-    """Fingerprint and hash of a set of shingles (distinct and sorted)."""
-    return long_fingerprint(shingles) + xxhash.xxh64_digest(shingles.tobytes())
+    """Fingerprint, hash and size of a set of shingles (distinct and sorted)."""
+    return long_fingerprint(shingles) + xxhash.xxh64_digest(shingles.tobytes()) + len(shingles).to_bytes(8, "big")
+
+
+def n_shingles(node: str) -> Column:
+    return F.conv(F.hex(F.substring(node, NODE - 7, 8)), 16, 10).cast("long")
 
 
 def with_nodes(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -88,17 +121,22 @@ def _prints(nodes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(nodes), np.uint64).reshape(-1, NODE // 8)[:, : BITS // 64]
 
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, ...) to (t, word, node, ...), one row a probe."""
-    places = probe_bits()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            bits = np.unpackbits(np.ascontiguousarray(_prints(part.column(0).to_pylist())).view(np.uint8), axis=1)
-            words = [np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(">u4").ravel().astype(np.int64) for p in places]
-            n = len(bits)
-            cols = [pa.array(np.repeat(np.arange(PROBES, dtype=np.int32), n)), pa.array(np.concatenate(words)), *(pa.concat_arrays([c] * PROBES) for c in part.columns)]
-            yield pa.RecordBatch.from_arrays(cols, ["t", "word", *part.schema.names])
+def _probed(probes: int):
+    """(node) to (t, word, node), one row a probe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = probe_bits(probes)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.column(0).slice(at, 4096)
+                bits = np.unpackbits(np.ascontiguousarray(_prints(part.to_pylist())).view(np.uint8), axis=1)
+                for k in range(0, probes, 64):
+                    own = places[k : k + 64]
+                    words = [np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(">u4").ravel().astype(np.int64) for p in own]
+                    t = np.repeat(np.arange(k, k + len(own), dtype=np.int32), len(bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(words)), pa.concat_arrays([part] * len(own))], ["t", "word", "node"])
+
+    return run
 
 
 def _distance(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -120,23 +158,23 @@ def _pivots(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> np.nd
     return pivot
 
 
-def _met(v: np.ndarray, prints: np.ndarray, limit: int, radius: int, x: np.ndarray, y: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _met(v: np.ndarray, prints: np.ndarray, limit: int, radius: int, key: int, x: np.ndarray, y: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates between the rows x and y of one subtrie, or among x. v: the words, in the upper half of 64 bits, sorted."""
     vx = v[x]
     vy = vx if y is None else v[y]
     whole = tuple(np.array([k]) for k in (0, len(vx), 0, len(vy)))
     other = x if y is None else y
-    for i, j in traverse(vx, vy, KEY_BITS, whole, radius, 32):
+    for i, j in traverse(vx, vy, key, whole, radius, PROBE_BITS):
         i, j = x[i], other[j]
         near = _distance(prints, i, j) <= limit
         yield i[near], j[near]
 
 
-def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> np.ndarray:
+def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int, key: int = KEY_BITS) -> np.ndarray:
     """The smallest index each row of one subtrie is connected with by candidates."""
 
     def met(x: np.ndarray, y: np.ndarray | None = None):
-        return _met(v, prints, limit, radius, x, y)
+        return _met(v, prints, limit, radius, key, x, y)
 
     n = len(v)
     if n <= LARGE:
@@ -159,129 +197,58 @@ def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) ->
     return _forest(n, pairs())
 
 
-def _nearest(v: np.ndarray, prints: np.ndarray, limit: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one subtrie that have a candidate, and the nearest one of each (a row gathered by a pivot
-    of a large subtrie: the pivot, or a nearer one among the rows that no pivot gathered)."""
-    n = len(v)
-    mate, best = np.full(n, -1), np.full(n, BITS + 1)
-    pivot = _pivots(v, prints, limit, radius) if n > LARGE else np.full(n, -1)
-    own, rest = np.flatnonzero((pivot >= 0) & (pivot != np.arange(n))), np.flatnonzero(pivot == -1)
-    mate[own], best[own] = pivot[own], _distance(prints, own, pivot[own])
-    gathered = np.flatnonzero(pivot >= 0)
-    across = _met(v, prints, limit, radius, rest, gathered) if len(gathered) and len(rest) else ()
-    for i, j in chain(_met(v, prints, limit, radius, rest) if len(rest) > 1 else (), across):
-        i, j = np.r_[i, j], np.r_[j, i]
-        d = _distance(prints, i, j)
-        order = np.lexsort((j, d, i))
-        order = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
-        i, j, d = i[order], j[order], d[order]
-        nearer = d < best[i]
-        mate[i[nearer]], best[i[nearer]] = j[nearer], d[nearer]
-    some = np.flatnonzero(mate >= 0)
-    return some, mate[some]
-
-
-def _across(v: np.ndarray, prints: np.ndarray, label: np.ndarray, limit: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidates of one subtrie whose labels differ."""
-    values, of, n = np.unique(label, return_inverse=True, return_counts=True)
-    groups = [np.flatnonzero(of == k) for k in np.flatnonzero(n > MANY)]
-    rest = np.flatnonzero(n[of] <= MANY)
-    if len(rest) > 1:
-        for i, j in _met(v, prints, limit, radius, rest):
-            apart = of[i] != of[j]
-            yield i[apart], j[apart]
-    for k, g in enumerate(groups):
-        for other in [rest, *groups[k + 1 :]]:
-            if len(other):
-                yield from _met(v, prints, limit, radius, other, g)
-
-
-def _first_met(t: int, prints: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    """Whether probe t is the first that a pair meets in."""
-    places = probe_bits()[:t]
-    first = np.ones(len(i), bool)
-    for at in range(0, len(i) if t else 0, _PAIRS):
-        x = np.ascontiguousarray(prints[i[at : at + _PAIRS]] ^ prints[j[at : at + _PAIRS]])
-        bits = np.unpackbits(x.view(np.uint8), axis=1)
-        for p in places:
-            own = bits[:, p]
-            first[at : at + _PAIRS] &= own[:, :KEY_BITS].any(axis=1) | (own.sum(axis=1) > radius)
-    return first
-
-
-def _roots(limit: int, radius: int):
-    def find(t, v, prints, label):
-        root = _link_subtrie(v, prints, limit, radius)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        yield linked, root[linked]
-
-    return find
-
-
-def _mates(limit: int, radius: int):
-    return lambda t, v, prints, label: [_nearest(v, prints, limit, radius)]
-
-
-def _others(limit: int, radius: int):
-    def find(t, v, prints, label):
-        for i, j in _across(v, prints, label, limit, radius):
-            if len(i):
-                first = _first_met(t, prints, i, j, radius)
-                yield i[first], j[first]
-
-    return find
-
-
-def _in_subtries(find):
-    """Pairs of nodes that ``find`` makes of each subtrie's probe, words, fingerprints and labels (if there are any)."""
-
-    def whole(t, word, label, nodes) -> Iterator[pa.RecordBatch]:
-        key = (t.astype(np.int64) << 32) | (word >> (32 - KEY_BITS))
+def _in_subtries(limit: int, radius: int, key_bits: int):
+    """Candidates (a, b) of each subtrie as a spanning forest."""
+
+    def whole(t, word, nodes) -> Iterator[pa.RecordBatch]:
+        key = (t.astype(np.int64) << PROBE_BITS) | (word >> (PROBE_BITS - key_bits))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         a, b = [], []
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
             raw = nodes[s:e]
-            v = word[s:e].astype(np.uint64) << np.uint64(32)
-            for i, j in find(int(t[s]), v, _prints(raw), label[s:e]):
-                a += [raw[k] for k in i.tolist()]
-                b += [raw[k] for k in j.tolist()]
-                if len(a) > PIECE:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                    a, b = [], []
+            root = _link_subtrie(word[s:e].astype(np.uint64) << np.uint64(64 - PROBE_BITS), _prints(raw), limit, radius, key_bits)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            a += [raw[k] for k in linked.tolist()]
+            b += [raw[k] for k in root[linked].tolist()]
+            if len(a) > PIECE:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        rows = due = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             t, word = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            label = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else np.zeros(len(t), np.int64)
-            held.append((t, word, label, batch.column(2).to_pylist()))
-            if sum(len(x[0]) for x in held) < PIECE:
+            held.append((t, word, batch.column(2).to_pylist()))
+            rows += len(t)
+            if rows < PIECE or rows < due:
                 continue
-            t, word, label = (np.concatenate([x[k] for x in held]) for k in range(3))
-            nodes = [p for x in held for p in x[3]]
-            last = np.flatnonzero((t != t[-1]) | (word >> (32 - KEY_BITS) != word[-1] >> (32 - KEY_BITS)))
+            t, word = (np.concatenate([x[k] for x in held]) for k in range(2))
+            nodes = [p for x in held for p in x[2]]
+            last = np.flatnonzero((t != t[-1]) | (word >> (PROBE_BITS - key_bits) != word[-1] >> (PROBE_BITS - key_bits)))
             done = int(last[-1]) + 1 if len(last) else 0
-            held = [(t[done:], word[done:], label[done:], nodes[done:])]
+            held, rows = [(t[done:], word[done:], nodes[done:])], len(t) - done
+            due = 2 * rows  # a subtrie that goes on is looked at again when it has doubled
             if done:
-                yield from whole(t[:done], word[:done], label[:done], nodes[:done])
+                yield from whole(t[:done], word[:done], nodes[:done])
         if held:
-            yield from whole(*(np.concatenate([x[k] for x in held]) for k in range(3)), [p for x in held for p in x[3]])
+            yield from whole(*(np.concatenate([x[k] for x in held]) for k in range(2)), [p for x in held for p in x[2]])
 
     return run
 
 
-def _pairs(nodes: DataFrame, find) -> DataFrame:
-    """nodes: (node binary) or (node binary, label long), nodes distinct. A table (a, b) of what ``find`` finds."""
-    added = "".join(f", {f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    probed = nodes.mapInArrow(_probes, f"t int, word long{added}")
-    key = F.shiftright("word", 32 - KEY_BITS)
+def candidates(nodes: DataFrame, similarity: float, radius: int = PROBE_RADIUS) -> DataFrame:
+    """nodes: (node binary), distinct. A table (a, b) that connects all candidates."""
+    key_bits, probes = plan(nodes.count(), similarity, radius)
+    probed = nodes.mapInArrow(_probed(probes), "t int, word long, node binary")
+    key = F.shiftright("word", PROBE_BITS - key_bits)
     dealt = probed.repartition(parts_of(nodes), "t", key).sortWithinPartitions("t", "word")
-    return dealt.mapInArrow(_in_subtries(find), "a binary, b binary")
+    return dealt.mapInArrow(_in_subtries(most_bits(similarity, SLACK), radius, key_bits), "a binary, b binary")
 
 
 def _row_key(doc_id: Column, h: Column) -> Column:
@@ -292,38 +259,104 @@ def _least() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
 
 
-def _shingles(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and its set of shingles, for ``nodes``; one text a node is read."""
+def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and its set of shingles (64-bit numbers in a row), for ``nodes``; one text a node is read."""
     least = rows.join(nodes, "node", "left_semi").groupBy("node").agg(_least().alias("x"))
     keys = cut(least.select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key")).distinct())
     texts = docs.select(_row_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), "text").join(keys, "key", "left_semi")
 
     def sets(texts: list[str | None]) -> list[pa.Array]:
         found = [np.unique(shingle_hashes(t, words)) for t in texts]
-        return [pa.array([node(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
-
-    return map_texts(texts, [], sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+        return [pa.array([node(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+
+    return map_texts(texts, [], sets, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def chunks_of(n: Column, shingles: Column) -> Column:
+    """Chunks of a family of n nodes that have so many shingles together."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / CHUNK), F.lit(MOST_CHUNKS)), F.ceil(shingles * 8 / BYTES)).cast("int")
+
+
+def alike(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets x and y of a list have this Jaccard similarity at least: a matrix x by y."""
+    size = np.array([len(s) for s in sets])
+    values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of one set only meet nothing; the others in pieces of columns
+    shared = n > 1
+    place = np.cumsum(shared) - 1
+    of = np.repeat(np.arange(len(sets)), size)[shared[column]]
+    column = place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, (at, at + _COLUMNS))
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[of[a:b], column[a:b] - at] = 1
+        both += held[x] @ held[y].T
+    both = both.astype(np.float64)
+    either = size[x][:, None] + size[y][None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity
+
+
+def _in_blocks(similarity: float):
+    """Links (a, b) of each block as a spanning forest; rows are sorted by family and block."""
+
+    def whole(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+        i, j = rows[0][1:3]
+        nodes = [r[4] for r in rows]
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        chunk = np.array([r[3] for r in rows])
+        x = np.flatnonzero(chunk == i)
+        y = x if i == j else np.flatnonzero(chunk == j)
+        if not len(x) or not len(y):
+            return [], []
+
+        def pairs():
+            for at in range(0, len(x), CHUNK):
+                for to in range(0, len(y), CHUNK):
+                    own, other = x[at : at + CHUNK], y[to : to + CHUNK]
+                    both = np.unique(np.r_[own, other])
+                    hit = alike([sets[k] for k in both.tolist()], np.searchsorted(both, own), np.searchsorted(both, other), similarity)
+                    a, b = np.nonzero(hit)
+                    yield own[a], other[b]
+
+        root = _forest(len(rows), pairs())
+        linked = np.flatnonzero(root != np.arange(len(root))).tolist()
+        return [nodes[k] for k in linked], [nodes[root[k]] for k in linked]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            a, b = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    more = whole(held)
+                    a += more[0]
+                    b += more[1]
+                    held = []
+                held.append(row)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        if held:
+            a, b = whole(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have this Jaccard similarity at least."""
-    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return once.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+    return run
 
 
 def links(docs: DataFrame, rows: DataFrame, similarity: float, words: int, radius: int = PROBE_RADIUS) -> DataFrame:
-    """rows: ``with_nodes`` of docs. A table (a, b) that connects the candidates that are similar enough."""
-    limit = most_bits(similarity, SLACK)
-    found = _pairs(cut(rows.select("node").distinct()), _roots(limit, radius))
-    nodes = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut(_shingles(docs, rows, nodes, words))
-    first = cut(_alike(_pairs(nodes, _mates(limit, radius)), sets, similarity))
-    labels = components(first).select(F.col("node").alias("f"), "root")
-    labelled = nodes.join(labels, F.col("node") == F.col("f"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("label"))
-    return first.unionByName(cut(_alike(_pairs(cut(labelled), _others(limit, radius)), sets, similarity)))
+    """rows: ``with_nodes`` of docs. A table (a, b) that connects the pairs of a family that are similar enough."""
+    family = components(candidates(cut(rows.select("node").distinct()), similarity, radius))
+    sizes = cut(family.groupBy("root").agg(chunks_of(F.count(F.lit(1)), F.sum(n_shingles("node"))).alias("m")).select(F.col("root").alias("r"), "m"))
+    # cut: a large family's rows may then be split in the join
+    family = cut(cut(family).join(sizes, F.col("root") == F.col("r")).select("node", F.xxhash64("root").alias("family"), "m"))
+    sets = _sets(docs, rows, family.select("node"), words).join(family.withColumnRenamed("node", "f"), F.col("node") == F.col("f"))
+    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("m")).cast("int")
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"))))
+    blocks = sets.withColumn("c", own).select("family", "c", "node", "shingles", other.alias("x")).select("family", "x.i", "x.j", "c", "node", "shingles")
+    dealt = blocks.repartition(parts_of(docs), "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(_in_blocks(similarity), "a binary, b binary")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from phrasewright.llm import similar_texts as S
 from phrasewright.llm import simhash_dedup as D
@@ -125,36 +126,49 @@ def test_only_texts_at_the_similarity_are_linked(spark):
     assert classes(got) == classes(root)
 
 
-def some_prints(rng):
-    base = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
-    prints = base[rng.integers(0, 3, 150)] ^ (np.uint64(1) << rng.integers(0, 63, (150, 4)).astype(np.uint64))
-    words = np.sort(rng.integers(0, 2**22, 150)).astype(np.uint64)
-    meet = {(i, j) for i in range(150) for j in range(150) if i != j and int(words[i] ^ words[j]).bit_count() <= 5 and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 8}
-    return words << np.uint64(32), prints, meet
-
-
-def test_candidates_of_a_subtrie(monkeypatch):
+def test_blocks_compare_all_pairs(monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 5)
+    monkeypatch.setattr(S, "_COLUMNS", 7)
     rng = np.random.default_rng(8)
-    for large in (10**6, 10):
-        monkeypatch.setattr(S, "LARGE", large)
-        monkeypatch.setattr(S, "MANY", large)
-        for _ in range(5):
-            v, prints, meet = some_prints(rng)
-            i, j = S._nearest(v, prints, 8, 5)
-            assert set(zip(i.tolist(), j.tolist())) <= meet
-            assert {*i.tolist(), *j.tolist()} == {i for i, _ in meet}
-            label = rng.integers(0, 6, 150)
-            found = [tuple(sorted(p)) for i, j in S._across(v, prints, label, 8, 5) for p in zip(i.tolist(), j.tolist())]
-            assert len(found) == len(set(found))
-            assert set(found) == {(i, j) for i, j in meet if i < j and label[i] != label[j]}
-
-
-def test_a_pair_comes_from_its_first_probe():
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**63, (1, 4)).astype(np.uint64)
-    prints = np.repeat(base, 40, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (40, 4)).astype(np.uint64))
-    bits = np.unpackbits(prints.view(np.uint8), axis=1)
-    i, j = np.triu_indices(40, 1)
-    meet = np.stack([~(x := bits[i][:, p] ^ bits[j][:, p])[:, : S.KEY_BITS].any(axis=1) & (x.sum(axis=1) <= 3) for p in S.probe_bits()])
-    for t in (0, 1, 7):
-        assert S._first_met(t, prints, i, j, 3).tolist() == (~meet[:t].any(axis=0)).tolist()
+    for _ in range(20):
+        base = rng.integers(0, 2**63, 20).astype(np.uint64)
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(0, 21)], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]) for _ in range(23)]
+        sets = list({x.tobytes(): x for x in sets}.values())
+        want = np.array([[1.0 if not len(a) + len(b) else len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets]) >= 0.6
+        x, y = np.arange(0, len(sets), 2), np.arange(1, len(sets), 2)
+        assert (S.alike(sets, x, y, 0.6) == want[np.ix_(x, y)]).all()
+        # a family in three chunks and so in six blocks, handed over in batches that cut blocks
+        chunk = rng.integers(0, 3, len(sets))
+        rows = [(1, min(c, k), max(c, k), c, bytes([n]), s.tobytes()) for n, (s, c) in enumerate(zip(sets, chunk.tolist())) for k in range(3)]
+        rows.sort(key=lambda r: r[:3])
+        names = ["family", "i", "j", "c", "node", "shingles"]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[at : at + 4]]) for at in range(0, len(rows), 4)]
+        found = [p for out in S._in_blocks(0.6)(iter(batches)) for p in zip(*(c.to_pylist() for c in out.columns))]
+        assert len(found) <= 2 * len(sets) * 3
+        joined = lambda pairs: S._forest(len(sets), iter([(np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int))])).tolist()
+        assert joined([(a[0], b[0]) for a, b in found]) == joined(np.argwhere(want).tolist())
+
+
+def test_probes_follow_from_the_number_of_nodes():
+    for n in (0, 1000, 10**7, 4 * 10**10):
+        key, probes = S.plan(n, 0.8, 3)
+        assert n / 2**key <= S.SUBTRIE and S.probe_bits(probes).shape == (probes, 32)
+    assert (S.probe_bits(5) == S.probe_bits(9)[:5]).all()
+
+
+def test_a_wider_key_finds_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        texts += [near_copies(rng, base, k) for k in (0, 1, 2, 3)]
+    df = frame(spark, texts)
+    found = lambda: sorted((r.doc_id, r["class"]) for r in S.classes(df).collect())
+    want = found()
+    monkeypatch.setattr(S, "SUBTRIE", 0.02)
+    S.plan.cache_clear()
+    assert S.plan(120, 0.8, 3)[0] > 10 and found() == want
+    monkeypatch.setattr(S, "MOST_CHUNKS", 3)
+    monkeypatch.setattr(S, "CHUNK", 1)
+    assert found() == want
+    S.plan.cache_clear()
