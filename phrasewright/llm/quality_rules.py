@@ -5,11 +5,11 @@ rejects a document alone: expectation-maximisation over all documents estimates
 rule gives each vote on good and on bad documents, and the posterior probability of *good*
 decides.
 
-Everything runs as DataFrame expressions. Votes are pre-aggregated to one row per distinct vote
-pattern before the iterations, so an iteration reads a table whose size depends on the number of
-rules, not of documents, and returns three sums a rule.
+Statistics, votes and verdicts are DataFrame expressions. Votes are pre-aggregated to one row per distinct
+vote pattern, at most 3 to the power of the number of rules whatever the number of documents; this
+table comes to the driver once, and the iterations run there.
 
-Cases: a null text is an empty one; an empty text has no words, fails the base rule and gets the
+Cases: a null text is an empty one; very long texts are read whole; an empty text has no words, fails the base rule and gets the
 votes of its (zero) statistics; repeated rows each get a row; an empty table gives an empty
 result; columns other than doc_id and text are ignored, and null doc_ids are kept as they are.
 """
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, documents, split_words, text_of
+from ._common import cut, documents, split_words, text_of, written
 
 #: Frequent function words of the four languages of the corpus.
 STOPWORDS = (
@@ -111,11 +111,13 @@ class Model:
     good: tuple[tuple[float, float, float], ...]
     bad: tuple[tuple[float, float, float], ...]
 
+    def odds(self) -> list[list[float]]:
+        return [[math.log(x) - math.log(y) for x, y in zip(g, b)] for g, b in zip(self.good, self.bad)]
+
     def posterior(self, v: list[Column]) -> Column:
         """P(good | votes), one vote a rule."""
         z = F.lit(math.log(self.prior) - math.log(1 - self.prior))
-        for j, (g, b) in enumerate(zip(self.good, self.bad)):
-            w = [math.log(x) - math.log(y) for x, y in zip(g, b)]
+        for j, w in enumerate(self.odds()):
             z = z + F.when(v[j] == -1, w[0]).when(v[j] == 0, w[1]).otherwise(w[2])
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
@@ -132,25 +134,29 @@ def fit(patterns: DataFrame, steps: int = 25, tol: float = 1e-5, weight: float =
     weight: the starting model counts as so many documents, as a share of all; it names which
     class is the good one and keeps every probability above zero.
     """
+    rows = sorted((tuple(r["v"]), r["n"]) for r in patterns.collect())  # 3 ** len(RULES) at most
     model = first = start()
+    n = sum(c for _, c in rows)
+    if not n:
+        return first
+    held = weight * n
+    share = lambda a, p, total: (a + held * p) / (total + held)
     for _ in range(steps):
-        e = patterns.select("v", "n", (F.col("n") * model.posterior([F.col("v")[j] for j in range(len(RULES))])).alias("g"))
-        sums = [F.sum("n"), F.sum("g")]
-        for j in range(len(RULES)):
-            for x in (-1, 0, 1):
-                hit = F.col("v")[j] == x
-                sums += [F.sum(F.when(hit, F.col("g")).otherwise(0.0)), F.sum(F.when(hit, F.col("n") - F.col("g")).otherwise(0.0))]
-        n, g, *rest = e.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
-        if not n:
-            return first
-        held = weight * n
-        share = lambda a, p, total: (a + held * p) / (total + held)
-        good, bad = [], []
-        for j in range(len(RULES)):
-            c = rest[6 * j : 6 * j + 6]
-            good.append(tuple(share(c[2 * x], first.good[j][x], g) for x in range(3)))
-            bad.append(tuple(share(c[2 * x + 1], first.bad[j][x], n - g) for x in range(3)))
-        new = Model(min(0.999, max(0.001, share(g, first.prior, n))), tuple(good), tuple(bad))
+        odds, prior = model.odds(), math.log(model.prior) - math.log(1 - model.prior)
+        good = [[0.0] * 3 for _ in RULES]
+        every = [[0.0] * 3 for _ in RULES]
+        g = 0.0
+        for v, c in rows:
+            p = c / (1 + math.exp(-(prior + sum(w[x + 1] for w, x in zip(odds, v)))))
+            g += p
+            for own, whole, x in zip(good, every, v):
+                own[x + 1] += p
+                whole[x + 1] += c
+        new = Model(
+            min(0.999, max(0.001, share(g, first.prior, n))),
+            tuple(tuple(share(a, p, g) for a, p in zip(own, f)) for own, f in zip(good, first.good)),
+            tuple(tuple(share(c - a, p, n - g) for a, c, p in zip(own, whole, f)) for own, whole, f in zip(good, every, first.bad)),
+        )
         moved = max(abs(a - b) for x, y in zip(new.good + new.bad, model.good + model.bad) for a, b in zip(x, y))
         model = new
         if moved < tol:
@@ -163,32 +169,29 @@ def base_failed() -> Column:
 
 
 def patterns(stats: DataFrame) -> DataFrame:
-    """(v, n): distinct vote patterns and their documents."""
-    return cut(stats.groupBy(F.array(*votes()).alias("v")).agg(F.count(F.lit(1)).alias("n")))
-
-
-def verdict(model: Model, threshold: float) -> Column:
-    return ~base_failed() & (model.posterior(votes()) >= threshold)
+    """stats: (v, ...). (v, n): distinct vote patterns and their documents."""
+    return stats.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rate(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the statistics, posterior, base_failed and kept of every row of ``docs``."""
     stats = cut(with_statistics(docs.select("doc_id", "text")).drop("text"))
-    model = fit(patterns(stats))
-    return stats.select("*", model.posterior(votes()).alias("posterior"), base_failed().alias("base_failed"), verdict(model, threshold).alias("kept"))
+    model = fit(patterns(stats.select(F.array(*votes()).alias("v"))))
+    rated = stats.select("*", model.posterior(votes()).alias("posterior"), base_failed().alias("base_failed"))
+    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model keeps, with the columns of ``docs``.
 
-    The statistics are computed once for the fit and once more beside each text, in the scan: texts
-    are never shuffled. They pass through a generator, so that the filter isn't pushed below them,
-    where it would compute each of them for each of its mentions.
+    Rows are written once with their votes; the fit reads the votes alone, and the filter the
+    rows. Texts are never shuffled.
     """
-    model = fit(patterns(with_statistics(docs.select("text"))))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    stats = with_statistics(packed).select("row", F.inline(F.array(F.struct(*STATS))))
-    return stats.where(verdict(model, threshold)).select("row.*")
+    voted = written(with_statistics(packed).select("row", F.array(*votes()).alias("v"), base_failed().alias("failed")))
+    model = fit(patterns(voted))
+    posterior = model.posterior([F.get("v", F.lit(j)) for j in range(len(RULES))])
+    return voted.where(~F.col("failed") & (posterior >= threshold)).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
