@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasewright.llm import piece_encoding, quality_rules, secret_scans, similar_texts, source_mixing
-from phrasewright.llm._common import documents, ensure_checkpoint_dir
+from phrasewright.llm._common import delete, documents, ensure_checkpoint_dir
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has cut and the rows of the stage before are deleted once its own
+    rows are written."""
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4()}"
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    folder = f"{base}/stages-{uuid.uuid4()}"
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        sc.setCheckpointDir(f"{folder}/work-{k}")
+        try:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        finally:
+            sc.setCheckpointDir(base)
         docs = spark.read.parquet(f"{folder}/{k}")
+        delete(spark, f"{folder}/work-{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
