@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, written
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 12_000
@@ -20,16 +20,18 @@ def fold(n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int = SAMPLE) -> DataFrame:
-    """doc_id, y and text of at most ``bound`` labelled documents of each class that ``train`` holds for.
+    """doc_id, y and text of at most ``bound`` labelled documents of each class that ``train`` holds for, one
+    row an id (of an id that several texts have, the smallest text).
 
     Which ones is decided by a hash of the id. The chosen ids are at most 2 * bound, so they can be
-    broadcast; texts stay where they are.
+    broadcast; of the texts only theirs move.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train)
     ids = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     of = lambda y: ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     picked = cut(of(0).unionByName(of(1)).withColumnRenamed("doc_id", "i"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("i")).select("doc_id", "y", "text")
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("i"))
+    return written(met.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 
 
 def base_rate(labels: DataFrame, label: str, train: Column) -> float:

@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: INSULT and THREAT (with a weight), TARGET, NEGATION, REPORT, END of a clause
-and OTHER. Four small transducers relabel the symbols and are composed into one table once:
+Words become symbols: INSULT and THREAT (with a weight), TARGET, NEGATION, REPORT, STRONG (a word that
+strengthens), END of a clause, LINE, QUOTE, COLON and OTHER. Five small transducers relabel the symbols and
+are composed into one table once:
 
 * negation marks what follows within three words,
-* reported speech marks the rest of its clause,
-* target marks an insult that stands within four words after a person addressed or named,
+* reported speech marks the rest of its clause, or what stands in the quote that it opens,
+* insult marks an insult that a strong word leads to, and those that only go on with one,
+* target marks an insult as aimed if a person is addressed or named within four words before it or
+  after it, and as alone if not: a word by itself is no clause and counts a fraction,
 * threat turns a threat word into a threat only when a target follows within four words.
 
 A run through the table scores a clause: the weights of its matches, each times the weights of its
@@ -15,12 +18,13 @@ clean texts counts where it is dense.
 
 Insult weights beyond the seed list come from the labels: words, and beginnings of words (so that
 inflected forms of a stem count alike), whose log odds for toxic documents stay high after two
-standard errors are taken off. The fit uses a bounded, documented sample (``SAMPLE`` labelled rows
-of each class, by a hash of their ids); its lexicon has at most ``LEXICON`` entries, the strongest.
+standard errors are taken off. Words of the other classes are never insults, whatever stem they
+begin with. The fit uses a bounded, documented sample (``SAMPLE`` labelled rows of each class, by a hash of
+their ids); nothing else is bounded: all that the sample shows to be high is taken.
 
-Cases: null and empty texts have no matches and get the score of no evidence; labels that are null
-or not 0 or 1 are ignored; without labels of both classes the seed list decides alone; repeated
-rows get a row each; empty tables give empty results; other columns are ignored.
+Cases: null and empty texts have no matches and get the score of no evidence; very long texts are read
+whole; labels that are null or not 0 or 1 are ignored; without labels of both classes the seed list
+decides alone; repeated rows get a row each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +44,7 @@ from ._arrow import map_texts, slices
 from ._common import documents
 from ._training import SAMPLE, base_rate, best_cut, collect_rows, fold, logistic, sample, shifted
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-LEXICON = 20_000
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STRONG, END, LINE, QUOTE, COLON = SYMBOLS = range(11)
 
 #: Seed words of the classes, English, German, French and Spanish.
 INSULTS = "idiot idiots idiotic moron morons moronic stupid imbecile loser losers scum trash pathetic worthless disgusting clown fool fools filthy vermin scumbag coward retard bastard bitch asshole dumbass jerk dummkopf abschaum arschloch trottel connard imbécile ordure salaud idiota imbécil escoria basura estúpido".split()
@@ -49,9 +52,11 @@ THREATS = "kill destroy hurt murder beat strangle shoot stab crush burn töten u
 TARGETS = "you your yours yourself u he she they them him her his their this these those people everyone du dich dir euch ihr sie er vous toi tu te ton votre ils elles usted ustedes tú ti él ellos ella".split()
 NEGATIONS = "not no never isn't aren't don't doesn't won't cannot can't without neither nor nicht kein keine nie niemals ne pas jamais aucun nunca jamás sin ni".split()
 REPORTS = "said says say saying called calls quoted quote quotes wrote writes reported reports claimed claims allegedly sagte sagt behauptete dit disait selon déclaré dijo dice según".split()
+STRONGS = "such total complete utter absolute fucking bloody damn damned so very real pure verdammter verdammte völliger sale sacré espèce maldito maldita".split()
 
-#: What a mark does to the weight of a match.
-MARKS = {"negated": 0.3, "reported": 0.6, "aimed": 1.3}
+#: What a mark does to the weight of a match. A target's mark says that it aims the insult before it.
+MARKS = {"negated": 0.3, "reported": 0.6, "strong": 1.3, "further": 0.2, "aimed": 1.3, "alone": 0.35}
+AIMS = "aims"
 
 Symbol = tuple[int, frozenset]
 Step = Callable[[int, Symbol], tuple[int, Symbol]]
@@ -65,27 +70,49 @@ def negation(state: int, symbol: Symbol) -> tuple[int, Symbol]:
     """state: words for which the negation still holds."""
     if symbol[0] == NEGATION:
         return 3, symbol
-    if symbol[0] == END:
+    if symbol[0] in (END, LINE):
         return 0, symbol
+    if symbol[0] in (QUOTE, COLON):
+        return state, symbol
     if state and symbol[0] in (INSULT, THREAT):
         return state - 1, _marked(symbol, "negated")
     return max(0, state - 1), symbol
 
 
 def reported(state: int, symbol: Symbol) -> tuple[int, Symbol]:
+    """state: 1 in a clause that reports, 2 within its quote, which may hold several clauses."""
     if symbol[0] == REPORT:
-        return 1, symbol
-    if symbol[0] == END:
+        return max(1, state), symbol
+    if symbol[0] == QUOTE:
+        return (2 if state == 1 else 0), symbol
+    if symbol[0] == LINE or symbol[0] == END and state == 1:
         return 0, symbol
     return state, _marked(symbol, "reported") if state and symbol[0] in (INSULT, THREAT) else symbol
 
 
+def insult(state: int, symbol: Symbol) -> tuple[int, Symbol]:
+    """state: 1 right behind an insult, 3 and 2 within two words behind a strong word."""
+    if symbol[0] == INSULT:
+        return 1, _marked(symbol, "further") if state == 1 else _marked(symbol, "strong") if state else symbol
+    if symbol[0] == STRONG:
+        return 3, symbol
+    if symbol[0] in (QUOTE, COLON):
+        return state, symbol
+    return (2 if state == 3 and symbol[0] not in (END, LINE) else 0), symbol
+
+
 def target(state: int, symbol: Symbol) -> tuple[int, Symbol]:
+    """state: 1 to 4, words for which a target still aims; -1 to -4, words in which one may still aim
+    the insult before."""
     if symbol[0] == TARGET:
-        return 4, symbol
-    if symbol[0] == END:
+        return 4, _marked(symbol, AIMS) if state < 0 else symbol
+    if symbol[0] in (END, LINE):
         return 0, symbol
-    return max(0, state - 1), _marked(symbol, "aimed") if state and symbol[0] == INSULT else symbol
+    if symbol[0] in (QUOTE, COLON):
+        return state, symbol
+    if symbol[0] == INSULT:
+        return (state - 1, _marked(symbol, "aimed")) if state > 0 else (-4, _marked(symbol, "alone"))
+    return state - (state > 0) + (state < 0), symbol
 
 
 #: States of the threat transducer: 0, or words left and whether the threat was negated or reported.
@@ -98,24 +125,26 @@ def threat(state: int, symbol: Symbol) -> tuple[int, Symbol]:
     if symbol[0] == THREAT:
         return 4 * 4 + _HELD.index(symbol[1]), (OTHER, frozenset())
     if symbol[0] == TARGET and left:
-        return 0, (THREAT, _HELD[held])
-    if symbol[0] == END or not left:
+        return 0, (THREAT, _HELD[held] | symbol[1])
+    if symbol[0] in (QUOTE, COLON):
+        return state, symbol
+    if symbol[0] in (END, LINE) or not left:
         return 0, symbol
     return 4 * (left - 1) + held if left > 1 else 0, symbol
 
 
-def compose(*steps: Step) -> tuple[np.ndarray, np.ndarray]:
+def compose(*steps: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The product of transducers over the plain symbols, each reading what the one before writes.
 
-    Returns next[state, symbol] and weight[state, symbol]: the weight of the match that the last
-    writes, 0 for none. State 0 is the start.
+    Returns next[state, symbol], weight[state, symbol]: the weight of the match that the last writes, 0
+    for none, and aims[state, symbol]: whether it aims the insult before. State 0 is the start.
     """
     start = (0,) * len(steps)
     states, rows, at = {start: 0}, [], 0
     order = [start]
     while at < len(order):
         row = []
-        for plain in range(7):
+        for plain in SYMBOLS:
             symbol: Symbol = (plain, frozenset())
             after = []
             for s, step in zip(order[at], steps):
@@ -125,17 +154,25 @@ def compose(*steps: Step) -> tuple[np.ndarray, np.ndarray]:
             if key not in states:
                 states[key] = len(order)
                 order.append(key)
-            weight = math.prod(MARKS[m] for m in symbol[1]) if symbol[0] in (INSULT, THREAT) else 0.0
-            row.append((states[key], weight))
+            row.append((states[key], weight_of(symbol), AIMS in symbol[1]))
         rows.append(row)
         at += 1
-    return np.array([[n for n, _ in r] for r in rows]), np.array([[w for _, w in r] for r in rows])
+    return tuple(np.array([[x[k] for x in r] for r in rows]) for k in range(3))
+
+
+def weight_of(symbol: Symbol) -> float:
+    """The weight of a match with its marks; 0 for what is none."""
+    return math.prod(MARKS[m] for m in symbol[1] if m != AIMS) if symbol[0] in (INSULT, THREAT) else 0.0
 
 
-NEXT, WEIGHT = (t.tolist() for t in compose(negation, reported, target, threat))
+STEPS = (negation, reported, insult, target, threat)
+NEXT, WEIGHT, LATE = (t.tolist() for t in compose(*STEPS))
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n\"“”()]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n\"“”„«»()]")
+_ENDS = {"\n": LINE, ":": COLON, **dict.fromkeys('"“”„«»', QUOTE)}
 PREFIXES = (4, 5, 6, 7)
+#: Entries that a task counts before it hands them on.
+_HELD_ENTRIES = 500_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -157,11 +194,11 @@ class Grammar:
     def symbol(self, word: str) -> tuple[int, float]:
         """Class and weight of a token."""
         if not word[0].isalpha():
-            return END, 0.0
+            return _ENDS.get(word, END), 0.0
+        if word in _CLASSES:
+            return _CLASSES[word], 1.0
         weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
-        if weight:
-            return INSULT, weight
-        return _CLASSES.get(word, OTHER), 1.0
+        return (INSULT, weight) if weight else (OTHER, 1.0)
 
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses that have any."""
@@ -180,15 +217,19 @@ class Grammar:
         # clauses without an insult or a threat can't score: nothing to run
         if not any(s[0] in (INSULT, THREAT) for s in marked):
             return out
-        state, total, waiting = 0, 0.0, 0.0
+        state, total, waiting, alone = 0, 0.0, 0.0, 0.0
         for kind, weight in marked:
-            w = WEIGHT[state][kind]
+            w, late = WEIGHT[state][kind], LATE[state][kind]
             state = NEXT[state][kind]
             if kind == THREAT:
                 waiting = weight
             if w:
-                total += w * (weight if kind == INSULT else waiting)
-            if kind == END:
+                if kind == INSULT:
+                    alone = w * weight
+                total += alone if kind == INSULT else w * waiting
+            if late:  # the insult before counts as aimed after all
+                total += alone * (MARKS["aimed"] / MARKS["alone"] - 1)
+            if kind == END or kind == LINE:
                 if total:
                     out.append(total)
                 total = 0.0
@@ -208,7 +249,7 @@ class Grammar:
         return shifted(self.logit(evidence), self.cut, self.threshold)
 
 
-_CLASSES = {w: k for k, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
+_CLASSES = {w: k for k, words in ((STRONG, STRONGS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
 
 
 def _entries(text: str | None) -> set[str]:
@@ -217,42 +258,44 @@ def _entries(text: str | None) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) >= n}
 
 
-def _counted(picked: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """How many of the documents hold each entry: (entry, n)."""
+def _counted(picked: DataFrame) -> DataFrame:
+    """How many toxic and clean documents hold each entry: (entry, t, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        found: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([
+            pa.array([e for n in found for e in n], pa.string()), pa.array([y for y, n in enumerate(found) for _ in n], pa.int32()), pa.array([x for n in found for x in n.values()], pa.int64())
+        ], ["entry", "y", "n"])
         for batch in batches:
             for part in slices(batch):
-                for t in part.column(0).to_pylist():
-                    own = _entries(t)
-                    found.update(own if only is None else own & only)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["entry", "n"])
+                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found[y].update(_entries(t))
+                if len(found[0]) + len(found[1]) > _HELD_ENTRIES:
+                    yield rows()
+                    found = Counter(), Counter()
+        if found[0] or found[1]:
+            yield rows()
 
-    return picked.select(F.col("text").alias("_text")).mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    counts = picked.select("y", F.col("text").alias("_text")).mapInArrow(run, "entry string, y int, n long")
+    of = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
+    return counts.groupBy("entry").agg(of(1).alias("t"), of(0).alias("c"))
 
 
 def lexicon(picked: DataFrame, least: int = 3, floor: float = 1.5) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with the lower bound of their log odds, from a bounded sample (doc_id, y, text).
 
-    Entries are counted in toxic documents first; clean ones are then searched only for these.
+    Counts stay distributed; what comes to the driver are the entries above the floor.
     """
     sizes = dict(picked.groupBy("y").count().collect())
     if not sizes.get(1) or not sizes.get(0):
         return {}, {}
-    toxic = dict(_counted(picked.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(20 * LEXICON).collect())
-    clean = dict(_counted(picked.where("y = 0"), frozenset(toxic)).collect())
-    bound = {}
-    for entry, t in toxic.items():
-        c = clean.get(entry, 0)
-        odds = math.log((t + 0.5) / (sizes[1] - t + 0.5)) - math.log((c + 0.5) / (sizes[0] - c + 0.5))
-        low = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if low > floor:
-            bound[entry] = low
-    best = sorted(bound, key=lambda e: (-bound[e], e))[:LEXICON]
-    words = {e: bound[e] for e in best if not e.endswith("*")}
-    return words, {e[:-1]: bound[e] for e in best if e.endswith("*")}
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    odds = F.log(t / (sizes[1] + 1 - t)) - F.log(c / (sizes[0] + 1 - c))
+    low = odds - 2 * F.sqrt(1 / t + 1 / c)
+    found = _counted(picked).where(F.col("t") >= least).select("entry", low.alias("low")).where(F.col("low") > floor)
+    bound = dict(sorted(map(tuple, found.collect())))
+    words = {e: x for e, x in bound.items() if not e.endswith("*")}
+    return words, {e[:-1]: x for e, x in bound.items() if e.endswith("*")}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", threshold: float = 0.7, bound: int = SAMPLE) -> Grammar:
