@@ -5,15 +5,16 @@ weight that grows with their length, since short words are common ones). Each te
 its weight on every signed bit. Equal texts have equal fingerprints; the share of equal bits grows
 with the share of weight two texts have in common.
 
-``counts_within`` finds, for every fingerprint, all documents whose index word (the first 64 bits)
-lies within a Hamming radius. The word is cut into radius + 2 blocks, of which two at least agree;
-one table a pair of blocks is dealt by these two blocks in front, and all of a table's rows that
-agree there are compared, in pieces of bounded size. A pair that agrees in several tables counts in
-the first. Copies are one row with a count.
-
-Cases: null texts are empty; texts without words have fingerprint 0, alike to each other; equal ids
-are ordered by text, null ids come last; repeated rows get a row each, and the only row of a table
-is its own next one; empty tables give empty results; other columns are ignored.
+``counts_within`` finds, for every fingerprint, all documents whose fingerprint lies within a Hamming
+radius of it, counted over all 256 bits. The bits are cut into radius + 1 blocks of whole bytes: of two
+fingerprints within the radius one block at least agrees, whichever it is. One table a block is dealt by this
+block, moved to the front, and all of a table's rows that agree there are compared, in pieces of bounded
+size. A pair that agrees in several tables counts in the first. Copies are one row with a count.
+
+Cases: null texts are empty; very long texts are read whole, their terms vote in pieces; texts without
+words have fingerprint 0, alike to each other; ids are numbers; equal ids are ordered by text, null ids come
+last; repeated rows get a row each, and the only row of a table is its own next one; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 
 from ._arrow import map_texts, slices
 from ._common import cut, documents, parts_of
-from .simhash_dedup import _moved, tables
+from ._simhash import _MIX
 
 BITS = 256
 SHINGLE = 5
 WORD_WEIGHT = 0.3
-#: Odd multipliers, one a word of the fingerprint.
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+#: Differing bits of the whole fingerprint up to which documents are near.
+RADIUS = 7
 #: Terms whose bits are unpacked at once; pairs compared at once.
 _PIECE = 1 << 15
+#: Rows read before they are compared.
+_ROWS = 200_000
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -158,68 +161,82 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 
-def _compare(radius: int, firsts: list[list[tuple[int, int]]]):
-    """Counts of a table's subtable rows; firsts: the two front blocks of each table."""
-    masks = [[np.uint64(((1 << w) - 1) << (64 - at - w)) for at, w in two] for two in firsts]
+def tables(radius: int) -> list[tuple[int, int]]:
+    """The block in front of each table, as (first byte, bytes)."""
+    edges = [BITS // 8 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
-    def whole(table, key, word, n) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (table[1:] != table[:-1])])
-        ends = np.r_[starts[1:], len(key)]
-        total = np.zeros(len(key), np.int64)
+
+def _compare(radius: int):
+    """Counts of the rows (t, key, fingerprint, n) of each table that agree in the key."""
+    masks = []
+    for first, width in tables(radius):
+        mask = np.zeros(BITS // 8, np.uint8)
+        mask[first : first + width] = 255
+        masks.append(mask.view(np.uint64))
+
+    def whole(table: np.ndarray, keys: list[bytes], prints: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        other = np.fromiter((a != b for a, b in zip(keys[1:], keys)), bool, len(keys) - 1)
+        starts = np.flatnonzero(np.r_[True, other | (table[1:] != table[:-1])])
+        ends = np.r_[starts[1:], len(keys)]
+        words = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, BITS // 64)
+        total = np.zeros(len(keys), np.int64)
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            earlier = masks[: table[s]]
             wide = max(1, _PIECE // (e - s))
             for at in range(s, e, wide):
-                x = word[at : min(e, at + wide), None] ^ word[None, s:e]
-                hit = np.bitwise_count(x) <= radius
-                for a, b in earlier:  # the pair has met before
-                    hit &= (x & (a | b)) != 0
+                x = words[at : min(e, at + wide), None] ^ words[None, s:e]
+                hit = np.bitwise_count(x).sum(axis=2, dtype=np.int64) <= radius
+                for mask in masks[: table[s]]:  # the pair has met before
+                    hit &= ((x & mask) != 0).any(axis=2)
                 hit[np.arange(hit.shape[0]), np.arange(at - s, at - s + hit.shape[0])] = False
                 total[at : at + hit.shape[0]] += hit @ n[s:e]
-        some = total > 0
-        if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(total[some])], ["word", "found"])
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([prints[k] for k in some.tolist()], pa.binary()), pa.array(total[some])], ["fingerprint", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
+        rows = due = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(x[0]) for x in held) < 200_000:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_numpy()))
+            rows += batch.num_rows
+            if rows < _ROWS or rows < due:
                 continue
-            table, key, word, n = (np.concatenate(x) for x in zip(*held))
-            last = np.flatnonzero((table != table[-1]) | (key != key[-1]))
-            done = last[-1] + 1 if len(last) else 0
-            held = [[x[done:] for x in (table, key, word, n)]]
+            table, n = (np.concatenate([x[k] for x in held]) for k in (0, 3))
+            keys, prints = ([p for x in held for p in x[k]] for k in (1, 2))
+            # the last key may go on in the next batch
+            done = rows
+            while done and table[done - 1] == table[-1] and keys[done - 1] == keys[-1]:
+                done -= 1
+            held, rows = [(table[done:], keys[done:], prints[done:], n[done:])], rows - done
+            due = 2 * rows
             if done:
-                yield from whole(table[:done], key[:done], word[:done].view(np.uint64), n[:done])
+                yield from whole(table[:done], keys[:done], prints[:done], n[:done])
         if held:
-            table, key, word, n = (np.concatenate(x) for x in zip(*held))
-            yield from whole(table, key, word.view(np.uint64), n)
+            table, n = (np.concatenate([x[k] for x in held]) for k in (0, 3))
+            yield from whole(table, *([p for x in held for p in x[k]] for k in (1, 2)), n)
 
     return run
 
 
-def counts_within(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints: (word long, n long), words distinct and n their documents. Returns (word, found): the
-    documents with another word within the radius; words without any are absent."""
-    orders = tables(radius)
-    rows = [F.struct(F.lit(t).alias("t"), _moved(F.col("word"), o)[1].alias("key")) for t, o in enumerate(orders)]
-    dealt = prints.select("word", "n", F.explode(F.array(*rows)).alias("x")).select("x.t", "x.key", "word", "n")
+def counts_within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: (fingerprint, n), fingerprints distinct and n their documents. Returns (fingerprint, found): the
+    documents with another fingerprint within the radius; those without any are absent."""
+    rows = [F.struct(F.lit(t).alias("t"), F.substring("fingerprint", first + 1, width).alias("key")) for t, (first, width) in enumerate(tables(radius))]
+    dealt = prints.select("fingerprint", "n", F.explode(F.array(*rows)).alias("x")).select("x.t", "x.key", "fingerprint", "n")
     dealt = dealt.repartition(parts_of(prints), "t", "key").sortWithinPartitions("t", "key")
-    found = dealt.mapInArrow(_compare(radius, [o[:2] for o in orders]), "word long, found long")
-    return found.groupBy("word").agg(F.sum("found").alias("found"))
+    found = dealt.mapInArrow(_compare(radius), "fingerprint binary, found long")
+    return found.groupBy("fingerprint").agg(F.sum("found").alias("found"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and n_near: other documents with an index word within 3 bits."""
+    """The contract's columns, and n_near: other documents within RADIUS of the 256 bits."""
     rows = cut(compare_with_next(documents(spark, sf_dir)))
-    word = F.conv(F.hex(F.substring("fingerprint", 1, 8)), 16, -10).cast("long")
-    rows = rows.withColumn("word", word)
-    prints = cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    near = prints.join(counts_within(prints).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
-    near = near.select(F.col("word").alias("w"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_near"))
-    out = rows.join(cut(near), F.col("word") == F.col("w"))  # cut: a common word's rows may then be split
+    prints = cut(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
+    near = prints.join(counts_within(prints).withColumnRenamed("fingerprint", "f"), F.col("fingerprint") == F.col("f"), "left")
+    near = near.select(F.col("fingerprint").alias("f"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_near"))
+    out = rows.join(cut(near), F.col("fingerprint") == F.col("f"))  # cut: a common fingerprint's rows may then be split
     shown = lambda c: F.lower(F.hex(c)).alias(c)
     return out.select("doc_id", "n_chars", "edited_sha256", shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near")
