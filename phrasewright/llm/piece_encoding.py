@@ -6,11 +6,12 @@ Forward Viterbi gives the best score of every prefix. These are exact heuristics
 backward from the end: A-star leaves the agenda in the order of whole paths' scores, so the first
 N complete ones are the N best.
 
-Arcs never cross the start of a run of blanks, a line break (checked when a vocabulary is loaded) or, where
+The search runs link by link. Arcs never cross the start of a run of blanks, a line break (checked when a vocabulary is loaded) or, where
 no piece of the vocabulary does, the place between a letter and a mark, so
-the lattice of a text is a chain of small lattices. A worker remembers those it has met. Of a whole
-text only the N - 1 links of the chain with the least loss to their second path can differ from the best
-in its N best segmentations: A-star runs on these, and their paths are combined best first.
+the lattice of a text is a chain of small lattices. A worker remembers those it has met: the best path,
+which the forward pass leaves behind, and its distance to the second. Of a whole text only the N - 1
+links of the chain with the least such distance can differ from the best in its N best segmentations:
+A-star runs on these, and their paths are combined best first into the ids of all N.
 
 The vocabulary file is a BPE model, whose scores are ranks; the score of a piece is the log of its
 share under Zipf's law, -log(rank + 2.7) - log(sum). A blank is put before every text that isn't
@@ -18,7 +19,8 @@ empty, as the model asks; decoding takes it off again. Any text decodes to itsel
 
 The file is read on the driver only; workers get the vocabulary by broadcast.
 
-Cases: null and empty texts have no pieces, score 0 and one segmentation; repeated rows get a row
+Cases: null and empty texts have no pieces, score 0 and one segmentation; very long texts are segmented
+whole; repeated rows get a row
 each; null ids stay; empty tables give empty results; other columns are ignored.
 """
 
@@ -236,36 +238,39 @@ class Vocabulary:
         """Score and ids of the n best segmentations of a whole text (fewer if there are fewer).
 
         ids: whether to make those of the second and further ones."""
+        return [(score, None if packed is None else _unpack([packed])) for score, packed in self.n_best_packed(text, n, ids)]
+
+    def n_best_packed(self, text: str | None, n: int = N_BEST, ids: bool = True) -> list[tuple[float, bytes | None]]:
+        """``n_best`` with the ids as little-endian 32-bit numbers."""
         links = self.links(text or "")
         get, link = self._young.get, self.link
         known = [get(s) or link(s) for s in links]
         base = math.fsum([k[0] for k in known])
         best = [k[2] for k in known]
-        out = [(base, _unpack(best))]
         if n < 2 or not links:
-            return out
+            return [(base, b"".join(best))]
         gaps = np.array([k[1] for k in known])
         loose = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
         order = np.sort(loose[np.isfinite(gaps[loose])]).tolist()
         ways = [self.ways(links[i], n) for i in order]
+        # what stands before, between and after the links that may change
+        ends = [*order, len(best)]
+        between = [b"".join(best[a:b]) for a, b in zip([0, *(i + 1 for i in order)], ends)]
         agenda = [(0.0, (0,) * len(order))]
         seen = {agenda[0][1]}
-        picked = []
-        while agenda and len(picked) < n:
+        out: list[tuple[float, bytes | None]] = []
+        while agenda and len(out) < n:
             loss, pick = heapq.heappop(agenda)
-            picked.append((loss, pick))
+            whole = None
+            if ids or not out:
+                whole = between[0] + b"".join((own[p][1] if p else best[i]) + after for i, own, p, after in zip(order, ways, pick, between[1:]))
+            out.append((base - loss, whole))
             for k, own in enumerate(ways):
                 if pick[k] + 1 < len(own):
                     new = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
                     if new not in seen:
                         seen.add(new)
                         heapq.heappush(agenda, (loss - own[pick[k]][0] + own[pick[k] + 1][0], new))
-        for loss, pick in picked[1:]:
-            changed = list(best) if ids else []
-            if ids:
-                for i, own, p in zip(order, ways, pick):
-                    changed[i] = own[p][1] if p else best[i]
-            out.append((base - loss, _unpack(changed) if ids else None))
         return out
 
     def decode(self, ids) -> str:
@@ -274,20 +279,18 @@ class Vocabulary:
         return text[1:]
 
 
-def encode(docs: DataFrame, keys: list[str], vocabulary: Vocabulary, n: int = N_BEST) -> DataFrame:
-    """``keys`` of docs, ids (of the best segmentation) and scores (of the n best, best first)."""
+def encode(docs: DataFrame, keys: list[str], vocabulary: Vocabulary, n: int = N_BEST, paths: bool = True) -> DataFrame:
+    """``keys`` of docs, ids (of the best segmentation), scores (of the n best, best first) and, unless ``paths``
+    is false, paths (the ids of each of the n best)."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         v = held.value
-        ids, scores = [], []
-        for t in texts:
-            found = v.n_best(t, n, ids=False)
-            ids.append(found[0][1])
-            scores.append([s for s, _ in found])
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64()))]
+        found = [v.n_best(t, n, ids=paths) for t in texts]
+        made = [pa.array([f[0][1] for f in found], pa.list_(pa.int32())), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64()))]
+        return [*made, pa.array([[i for _, i in f] for f in found], pa.list_(pa.list_(pa.int32())))] if paths else made
 
-    return map_texts(docs, keys, run, "ids array<int>, scores array<double>")
+    return map_texts(docs, keys, run, "ids array<int>, scores array<double>" + ", paths array<array<int>>" * paths)
 
 
 def decode(rows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
@@ -308,20 +311,21 @@ def decode(rows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFram
 
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, n_best (segmentations found, up to 4), score and lead (over the second best; null if
-    none), ids_sha256 (of the ids as little-endian 32-bit numbers), decoded (whether the ids decode
-    to the text) of every document."""
+    none), scores and paths_sha256 (of each of the n best: the ids as little-endian 32-bit numbers),
+    ids_sha256 (of the best one's) and decoded (whether the ids of all of them decode to the text) of every document."""
     held = spark.sparkContext.broadcast(Vocabulary.load())
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         v = held.value
         rows = []
         for t in texts:
-            found = v.n_best(t, ids=False)
-            score, ids = found[0]
-            lead = score - found[1][0] if len(found) > 1 else None
-            rows.append((len(ids), len(found), score, lead, hashlib.sha256(ids.tobytes()).hexdigest(), v.decode(ids) == (t or "")))
-        types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+            found = v.n_best_packed(t)
+            scores = [s for s, _ in found]
+            shas = [hashlib.sha256(p).hexdigest() for _, p in found]
+            lead = scores[0] - scores[1] if len(found) > 1 else None
+            rows.append((len(found[0][1]) // 4, len(found), scores[0], lead, scores, shas, shas[0], all(v.decode(_unpack([p])) == (t or "") for _, p in found)))
+        types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
 
-    added = "n_pieces long, n_best int, score double, lead double, ids_sha256 string, decoded boolean"
+    added = "n_pieces long, n_best int, score double, lead double, scores array<double>, paths_sha256 array<string>, ids_sha256 string, decoded boolean"
     return map_texts(documents(spark, sf_dir), ["doc_id"], run, added)

@@ -52,6 +52,18 @@ def test_n_best_matches_enumeration():
             assert all(abs(known[tuple(i)] - s) < 1e-9 and v.decode(i) == text for s, i in got)
 
 
+def test_query_matches_enumeration(spark, tmp_path, monkeypatch):
+    """The query's rows beside all segmentations of short texts, with a small vocabulary in place of the file's."""
+    v, rng = small(), random.Random(5)
+    monkeypatch.setattr(E.Vocabulary, "load", classmethod(lambda cls: v))
+    texts = ["".join(rng.choice("abc  é\n.!") for _ in range(rng.randrange(9))) for _ in range(80)] + [None]
+    for r in E.op6_piece_encoding(spark, write(frame(spark, texts), tmp_path)).collect():
+        want = brute(v, texts[r.doc_id] or "")
+        assert np.allclose(r.scores, [s for s, _ in want[:4]]) and r.n_best == min(4, len(want)) and r.decoded
+        known = {hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(): s for s, ids in want}
+        assert all(abs(known[h] - s) < 1e-9 for h, s in zip(r.paths_sha256, r.scores)) and len(set(r.paths_sha256)) == r.n_best
+
+
 def test_a_star_yields_paths_in_order():
     v = small()
     found = list(v.paths(" abcabca"))
@@ -85,8 +97,13 @@ def test_every_text_round_trips(spark, tmp_path):
     want = []
     for i, t in df.select("doc_id", "text").collect():
         best = v.n_best(t, 4)
-        want.append((str(i), len(best[0][1]), len(best), hashlib.sha256(np.array(best[0][1], "<i4").tobytes()).hexdigest(), True))
-    assert sorted((str(r.doc_id), r.n_pieces, r.n_best, r.ids_sha256, r.decoded) for r in got) == sorted(want)
+        shas = [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for _, ids in best]
+        want.append((str(i), len(best[0][1]), len(best), shas, shas[0], True))
+    assert sorted((str(r.doc_id), r.n_pieces, r.n_best, r.paths_sha256, r.ids_sha256, r.decoded) for r in got) == sorted(want)
+    assert all(r.scores[0] == r.score and r.scores == sorted(r.scores, reverse=True) and len(set(r.paths_sha256)) == r.n_best for r in got)
+    for r in rows.collect():
+        assert r.paths[0] == r.ids and len(r.paths) == len(r.scores)
+    assert "paths" not in E.encode(df, ["doc_id"], v, paths=False).columns
     assert E.encode(df.limit(0), ["doc_id"], v).count() == 0
 
 
