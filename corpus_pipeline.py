@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids of the best segmentation, n_pieces, and the scores of the four best."""
-    rows = piece_encoding.encode(docs, ["doc_id", "source"], piece_encoding.Vocabulary.load())
+    rows = piece_encoding.encode(docs, ["doc_id", "source"], piece_encoding.Vocabulary.load(), paths=False)
     return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), "scores")
 
 
