@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ def url_decode(s: str) -> str:
 
 
 def url_decode_column(s: Column) -> Column:
-    """``url_decode`` of well-formed and malformed input: a ``%`` without two hex digits is first written as %25."""
-    return F.url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"))
+    """``url_decode``: a ``%`` without two hex digits is first written as %25, and ``%+X`` as %0X."""
+    signed = F.regexp_replace(s, r"%\+([0-9A-Fa-f])", "%0$1")
+    return F.url_decode(F.regexp_replace(signed, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def query_param(query: str, key: str) -> str | None:
@@ -38,8 +40,11 @@ def query_param_column(query: Column, key: str) -> Column:
 
 
 def json_string_field(body: Column, key: str) -> Column:
-    """A top-level string of a JSON object, null if absent or if the body is no JSON."""
-    return F.get_json_object(body, f"$['{key}']")
+    """A top-level string of a JSON object; null if it is absent or no string, or if the body is no JSON (a name
+    that stands twice in an object makes it none)."""
+    path = '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+    found = F.try_variant_get(F.try_parse_json(body), path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
 def json_escape(s: str) -> str:
@@ -82,6 +87,25 @@ def file_stem(path: str) -> str:
     return stem or "default"
 
 
+def split_csv_column(line: Column) -> Column:
+    """``split_csv_line`` of each row, in Arrow batches: its rules for quotes are no reader's of Spark."""
+
+    @F.pandas_udf("array<string>")
+    def split(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: None if x is None else split_csv_line(x))
+
+    return split(line)
+
+
+def blank(s: Column) -> Column:
+    """Whether a string is null or has nothing but white space (of any kind that Unicode knows)."""
+    return F.coalesce(~s.rlike(r"[^\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"), F.lit(True))
+
+
+def ascii_lower(s: Column) -> Column:
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def file_stem_column(name: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 

@@ -23,9 +23,10 @@ def from_entries(spark: SparkSession, entries: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ENTRY)
 
 
-def _read(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(path, content) of the files under a path."""
-    found = spark.read.format("binaryFile").load(path).select("path", "content").collect()
+def _read(spark: SparkSession, path: str, names: str | None = None) -> list[tuple[str, str]]:
+    """(path, content) of the files under a path, or of those whose names fit a pattern."""
+    reader = spark.read.format("binaryFile")
+    found = (reader.option("pathGlobFilter", names) if names else reader).load(path).select("path", "content").collect()
     return [(r["path"], bytes(r["content"]).decode("utf-8")) for r in found]
 
 
@@ -71,7 +72,7 @@ def from_data_dir(spark: SparkSession, folder: str, stable_ids: bool = False) ->
 
     Ids are random, made once here; ``stable_ids`` derives them from kind and position instead.
     """
-    files = [(p, t) for p, t in _read(spark, folder) if p.lower().endswith(".csv")]
+    files = _read(spark, folder, "*.[cC][sS][vV]")
     files.sort(key=lambda f: os.path.basename(f[0]).lower())
     rows = [e for p, t in files for e in csv_entries(t, file_stem(p))]
     if not stable_ids:

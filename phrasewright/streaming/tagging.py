@@ -1,8 +1,8 @@
 """Tagging a stream of texts.
 
 Each text is tagged by itself, so the stream needs no state and no watermark. The kernel plan is one map
-over the rows and runs on a stream as it is; the join plan groups by text, so it runs a micro-batch at
-a time.
+over the rows and runs on a stream as it is; the join plan sorts hits by text, so it runs a micro-batch at
+a time. Tags have the same columns in both.
 """
 
 from __future__ import annotations
