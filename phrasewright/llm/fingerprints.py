@@ -9,7 +9,7 @@ with the share of weight two texts have in common.
 radius of it, counted over all 256 bits. The bits are cut into radius + 1 blocks of whole bytes: of two
 fingerprints within the radius one block at least agrees, whichever it is. One table a block is dealt by this
 block, moved to the front, and all of a table's rows that agree there are compared, in pieces of bounded
-size. A pair that agrees in several tables counts in the first. Copies are one row with a count.
+size (more than a task can hold: in blocks, see ``_groups``). A pair that agrees in several tables counts in the first. Copies are one row with a count.
 
 Cases: null texts are empty; very long texts are read whole, their terms vote in pieces; texts without
 words have fingerprint 0, alike to each other; ids are numbers; equal ids are ordered by text, null ids come
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import map_texts, slices
 from ._common import cut, documents, parts_of
+from ._groups import column, in_blocks, ranges, whole_groups
 from ._simhash import _MIX
 
 BITS = 256
@@ -39,8 +40,6 @@ WORD_WEIGHT = 0.3
 RADIUS = 7
 #: Terms whose bits are unpacked at once; pairs compared at once.
 _PIECE = 1 << 15
-#: Rows read before they are compared.
-_ROWS = 200_000
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,65 +167,47 @@ def tables(radius: int) -> list[tuple[int, int]]:
 
 
 def _compare(radius: int):
-    """Counts of the rows (t, key, fingerprint, n) of each table that agree in the key."""
+    """Counts of the rows (t, key, i, j, c, fingerprint, n), sorted, within each block."""
     masks = []
     for first, width in tables(radius):
         mask = np.zeros(BITS // 8, np.uint8)
         mask[first : first + width] = 255
         masks.append(mask.view(np.uint64))
 
-    def whole(table: np.ndarray, keys: list[bytes], prints: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        other = np.fromiter((a != b for a, b in zip(keys[1:], keys)), bool, len(keys) - 1)
-        starts = np.flatnonzero(np.r_[True, other | (table[1:] != table[:-1])])
-        ends = np.r_[starts[1:], len(keys)]
-        words = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, BITS // 64)
-        total = np.zeros(len(keys), np.int64)
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            wide = max(1, _PIECE // (e - s))
-            for at in range(s, e, wide):
-                x = words[at : min(e, at + wide), None] ^ words[None, s:e]
-                hit = np.bitwise_count(x).sum(axis=2, dtype=np.int64) <= radius
-                for mask in masks[: table[s]]:  # the pair has met before
-                    hit &= ((x & mask) != 0).any(axis=2)
-                hit[np.arange(hit.shape[0]), np.arange(at - s, at - s + hit.shape[0])] = False
-                total[at : at + hit.shape[0]] += hit @ n[s:e]
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array([prints[k] for k in some.tolist()], pa.binary()), pa.array(total[some])], ["fingerprint", "found"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = due = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_numpy()))
-            rows += batch.num_rows
-            if rows < _ROWS or rows < due:
-                continue
-            table, n = (np.concatenate([x[k] for x in held]) for k in (0, 3))
-            keys, prints = ([p for x in held for p in x[k]] for k in (1, 2))
-            # the last key may go on in the next batch
-            done = rows
-            while done and table[done - 1] == table[-1] and keys[done - 1] == keys[-1]:
-                done -= 1
-            held, rows = [(table[done:], keys[done:], prints[done:], n[done:])], rows - done
-            due = 2 * rows
-            if done:
-                yield from whole(table[:done], keys[:done], prints[:done], n[:done])
-        if held:
-            table, n = (np.concatenate([x[k] for x in held]) for k in (0, 3))
-            yield from whole(table, *([p for x in held for p in x[k]] for k in (1, 2)), n)
+        for rows in whole_groups(batches, 4):
+            starts, ends = ranges(rows, 4)
+            table, i, j, c, n = (column(rows, k) for k in (0, 2, 3, 4, 6))
+            prints = rows.column(5).to_pylist()
+            words = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, BITS // 64)
+            total = np.zeros(len(words), np.int64)
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                x, y = s + np.flatnonzero(c[s:e] == i[s]), s + np.flatnonzero(c[s:e] == j[s])
+                for at in range(0, len(x), max(1, _PIECE // max(1, len(y)))):
+                    own = x[at : at + max(1, _PIECE // max(1, len(y)))]
+                    diff = words[own, None] ^ words[None, y]
+                    hit = np.bitwise_count(diff).sum(axis=2, dtype=np.int64) <= radius
+                    for mask in masks[: table[s]]:  # the pair has met before
+                        hit &= ((diff & mask) != 0).any(axis=2)
+                    if i[s] == j[s]:
+                        hit &= own[:, None] != y[None, :]
+                    else:
+                        total[y] += n[own] @ hit
+                    total[own] += hit @ n[y]
+            some = np.flatnonzero(total)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([prints[k] for k in some.tolist()], pa.binary()), pa.array(total[some])], ["fingerprint", "found"])
 
     return run
 
 
-def counts_within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def counts_within(prints: DataFrame, radius: int = RADIUS, split: int | None = None) -> DataFrame:
     """prints: (fingerprint, n), fingerprints distinct and n their documents. Returns (fingerprint, found): the
-    documents with another fingerprint within the radius; those without any are absent."""
+    documents with another fingerprint within the radius; those without any are absent. split: as ``_groups.SPLIT``."""
     rows = [F.struct(F.lit(t).alias("t"), F.substring("fingerprint", first + 1, width).alias("key")) for t, (first, width) in enumerate(tables(radius))]
-    dealt = prints.select("fingerprint", "n", F.explode(F.array(*rows)).alias("x")).select("x.t", "x.key", "fingerprint", "n")
-    dealt = dealt.repartition(parts_of(prints), "t", "key").sortWithinPartitions("t", "key")
+    moved = prints.select("fingerprint", "n", F.explode(F.array(*rows)).alias("x")).select("x.t", "x.key", "fingerprint", "n")
+    blocks = in_blocks(moved, ["t", "key"], "fingerprint", len(rows) * prints.count(), split).select("t", "key", "i", "j", "c", "fingerprint", "n")
+    dealt = blocks.repartition(parts_of(prints), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     found = dealt.mapInArrow(_compare(radius), "fingerprint binary, found long")
     return found.groupBy("fingerprint").agg(F.sum("found").alias("found"))
 

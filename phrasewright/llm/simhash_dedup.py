@@ -9,10 +9,11 @@ least, whichever these are. One table a pair of blocks holds every fingerprint w
 moved to the front; rows that agree there are the leaves of one subtrie. A task reads its subtries
 in order and joins each with itself: node pairs are traversed together from the top, differing bits
 add up, and a pair is dropped once they exceed the radius. This is exact: there is no cap on a
-subtrie or on partners, and pairs of any number are worked off in bounded pieces. Links leave a task
+subtrie or on partners, a subtrie too large for a task is dealt into chunks whose pairs are joined in tasks of
+their own (``_groups``), and pairs of any number are worked off in bounded pieces. Links leave a task
 as a spanning forest, at most one a fingerprint, which connects whatever its pairs connect.
 
-Cases: texts without words have fingerprint 0; null texts are empty; repeated rows share a
+Cases: very long texts are read whole; texts without words have fingerprint 0; null texts are empty; repeated rows share a
 component; null doc_ids never name a component that has another id (a component with none has a
 null id); empty tables give empty results; other columns are ignored (and kept by ``keep_one``).
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from ._arrow import map_texts
 from ._common import cut, documents, parts_of
 from ._graph import components
+from ._groups import column, in_blocks, ranges, whole_groups
 from ._simhash import fingerprint, shingle_hashes
 
 #: Node pairs traversed at once, and rows read before whole subtries are joined: bound a task's memory.
@@ -140,49 +142,57 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
 
 
 def _join_subtries(depths: list[int], radius: int):
+    """Links of the rows (t, key, i, j, c, v, word), sorted, as a spanning forest of each block."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def whole(table: np.ndarray, key: np.ndarray, v: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for t in np.unique(table):
-            of = table == t
-            own, k, w = v[of].view(np.uint64), key[of], word[of]
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            root = _forest(len(own), self_join(own, depths[t], starts, np.r_[starts[1:], len(own)], radius))
-            linked = np.flatnonzero(root != np.arange(len(own)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(w[linked]), pa.array(w[root[linked]])], schema=schema)
+    def linked(word: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = np.flatnonzero(root != np.arange(len(word)))
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(word[own]), pa.array(word[root[own]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(x[0]) for x in held) < PIECE:
-                continue
-            table, key, v, word = (np.concatenate(x) for x in zip(*held))
-            # the last subtrie may go on in the next batch
-            last = np.flatnonzero((table != table[-1]) | (key != key[-1]))
-            done = last[-1] + 1 if len(last) else 0
-            held = [[x[done:] for x in (table, key, v, word)]]
-            if done:
-                yield from whole(*(x[:done] for x in (table, key, v, word)))
-        if held:
-            yield from whole(*(np.concatenate(x) for x in zip(*held)))
+        for rows in whole_groups(batches, 4, PIECE):
+            starts, ends = ranges(rows, 4)
+            table, key, i, j, c, v, word = (column(rows, k) for k in range(7))
+            v = v.view(np.uint64)
+            # subtries that are one block: all of a table at once, as their words are in order
+            again = np.r_[False, (table[starts[1:]] == table[starts[:-1]]) & (key[starts[1:]] == key[starts[:-1]])]
+            plain = (i[starts] == j[starts]) & ~again & ~np.r_[again[1:], False]
+            for t in np.unique(table[starts[plain]]):
+                of = plain & (table[starts] == t)
+                size = (ends - starts)[of]
+                at = np.r_[0, np.cumsum(size)]
+                own = np.repeat(starts[of] - at[:-1], size) + np.arange(at[-1])
+                root = _forest(len(own), self_join(v[own], depths[t], at[:-1], at[1:], radius))
+                yield from linked(word[own], root)
+            for s, e in zip(starts[~plain].tolist(), ends[~plain].tolist()):
+                yield from linked(word[s:e], _forest(e - s, _of_block(v[s:e], i[s], j[s], c[s:e], depths[table[s]], radius)))
 
     return run
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """prints: (fingerprint), distinct. A table (a, b) that connects all within the radius."""
+def _of_block(v: np.ndarray, i: int, j: int, c: np.ndarray, depth: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius of one block of a subtrie."""
+    if i == j:
+        yield from self_join(v, depth, np.array([0]), np.array([len(v)]), radius)
+        return
+    x, y = np.flatnonzero(c == i), np.flatnonzero(c == j)
+    if len(x) and len(y):
+        for a, b in traverse(v[x], v[y], depth, tuple(np.array([k]) for k in (0, len(x), 0, len(y))), radius):
+            yield x[a], y[b]
+
+
+def links(prints: DataFrame, radius: int, split: int | None = None) -> DataFrame:
+    """prints: (fingerprint), distinct. A table (a, b) that connects all within the radius. split: as ``_groups.SPLIT``."""
     orders = tables(radius)
     rows = []
     for t, order in enumerate(orders):
         v, key = _moved(F.col("fingerprint"), order)
         rows.append(F.struct(F.lit(t).alias("t"), key.alias("key"), v.alias("v")))
     # dealt by subtrie; within a subtrie the sign of v doesn't vary, so that its order is that of its bits
-    dealt = prints.select("fingerprint", F.explode(F.array(*rows)).alias("x")).select("x.*", F.col("fingerprint").alias("word"))
-    dealt = dealt.repartition(parts_of(prints), "t", "key").sortWithinPartitions("t", "key", "v")
+    moved = prints.select("fingerprint", F.explode(F.array(*rows)).alias("x")).select("x.*", F.col("fingerprint").alias("word"))
+    blocks = in_blocks(moved, ["t", "key"], "word", len(orders) * prints.count(), split).select("t", "key", "i", "j", "c", "v", "word")
+    dealt = blocks.repartition(parts_of(prints), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "v")
     return dealt.mapInArrow(_join_subtries([o[0][1] + o[1][1] for o in orders], radius), "a long, b long")
 
 

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from ._arrow import map_texts
 from ._common import cut, parts_of, text_of
 from ._graph import components
+from ._groups import column, in_blocks, ranges, whole_groups
 from ._simhash import long_fingerprint, shingle_hashes
 from .simhash_dedup import PIECE, _forest, traverse
 
@@ -198,56 +199,38 @@ def _link_subtrie(v: np.ndarray, prints: np.ndarray, limit: int, radius: int, ke
 
 
 def _in_subtries(limit: int, radius: int, key_bits: int):
-    """Candidates (a, b) of each subtrie as a spanning forest."""
-
-    def whole(t, word, nodes) -> Iterator[pa.RecordBatch]:
-        key = (t.astype(np.int64) << PROBE_BITS) | (word >> (PROBE_BITS - key_bits))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        a, b = [], []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            raw = nodes[s:e]
-            root = _link_subtrie(word[s:e].astype(np.uint64) << np.uint64(64 - PROBE_BITS), _prints(raw), limit, radius, key_bits)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            a += [raw[k] for k in linked.tolist()]
-            b += [raw[k] for k in root[linked].tolist()]
-            if len(a) > PIECE:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    """Candidates (a, b) of the rows (t, key, i, j, c, word, node), sorted, as a spanning forest of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = due = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, word = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            held.append((t, word, batch.column(2).to_pylist()))
-            rows += len(t)
-            if rows < PIECE or rows < due:
-                continue
-            t, word = (np.concatenate([x[k] for x in held]) for k in range(2))
-            nodes = [p for x in held for p in x[2]]
-            last = np.flatnonzero((t != t[-1]) | (word >> (PROBE_BITS - key_bits) != word[-1] >> (PROBE_BITS - key_bits)))
-            done = int(last[-1]) + 1 if len(last) else 0
-            held, rows = [(t[done:], word[done:], nodes[done:])], len(t) - done
-            due = 2 * rows  # a subtrie that goes on is looked at again when it has doubled
-            if done:
-                yield from whole(t[:done], word[:done], nodes[:done])
-        if held:
-            yield from whole(*(np.concatenate([x[k] for x in held]) for k in range(2)), [p for x in held for p in x[2]])
+        for rows in whole_groups(batches, 4, PIECE):
+            starts, ends = ranges(rows, 4)
+            i, j, c, word = (column(rows, k) for k in (2, 3, 4, 5))
+            v = word.astype(np.uint64) << np.uint64(64 - PROBE_BITS)
+            nodes = rows.column(6)
+            prints = _prints(nodes.to_pylist())
+            own, root = [], []
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                if i[s] == j[s]:
+                    found = _link_subtrie(v[s:e], prints[s:e], limit, radius, key_bits)
+                else:
+                    x, y = np.flatnonzero(c[s:e] == i[s]), np.flatnonzero(c[s:e] == j[s])
+                    found = _forest(e - s, _met(v[s:e], prints[s:e], limit, radius, key_bits, x, y) if len(x) and len(y) else iter(()))
+                linked = np.flatnonzero(found != np.arange(e - s))
+                own.append(s + linked)
+                root.append(s + found[linked])
+            if own:
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(k))).combine_chunks() for k in (own, root)], ["a", "b"])
 
     return run
 
 
-def candidates(nodes: DataFrame, similarity: float, radius: int = PROBE_RADIUS) -> DataFrame:
-    """nodes: (node binary), distinct. A table (a, b) that connects all candidates."""
-    key_bits, probes = plan(nodes.count(), similarity, radius)
-    probed = nodes.mapInArrow(_probed(probes), "t int, word long, node binary")
-    key = F.shiftright("word", PROBE_BITS - key_bits)
-    dealt = probed.repartition(parts_of(nodes), "t", key).sortWithinPartitions("t", "word")
+def candidates(nodes: DataFrame, similarity: float, radius: int = PROBE_RADIUS, split: int | None = None) -> DataFrame:
+    """nodes: (node binary), distinct. A table (a, b) that connects all candidates. split: as ``_groups.SPLIT``."""
+    n = nodes.count()
+    key_bits, probes = plan(n, similarity, radius)
+    probed = nodes.mapInArrow(_probed(probes), "t int, word long, node binary").withColumn("key", F.shiftright("word", PROBE_BITS - key_bits))
+    blocks = in_blocks(probed, ["t", "key"], "node", n * probes, split).select("t", "key", "i", "j", "c", "word", "node")
+    dealt = blocks.repartition(parts_of(nodes), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "word")
     return dealt.mapInArrow(_in_subtries(most_bits(similarity, SLACK), radius, key_bits), "a binary, b binary")
 
 
@@ -259,10 +242,9 @@ def _least() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and its set of shingles (64-bit numbers in a row), for ``nodes``; one text a node is read."""
-    least = rows.join(nodes, "node", "left_semi").groupBy("node").agg(_least().alias("x"))
-    keys = cut(least.select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key")).distinct())
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and its set of shingles (64-bit numbers in a row), for nodes (node, x); one text a node is read."""
+    keys = cut(nodes.select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key")).distinct())
     texts = docs.select(_row_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), "text").join(keys, "key", "left_semi")
 
     def sets(texts: list[str | None]) -> list[pa.Array]:
@@ -345,13 +327,14 @@ def _in_blocks(similarity: float):
     return run
 
 
-def links(docs: DataFrame, rows: DataFrame, similarity: float, words: int, radius: int = PROBE_RADIUS) -> DataFrame:
-    """rows: ``with_nodes`` of docs. A table (a, b) that connects the pairs of a family that are similar enough."""
-    family = components(candidates(cut(rows.select("node").distinct()), similarity, radius))
+def links(docs: DataFrame, least: DataFrame, similarity: float, words: int, radius: int = PROBE_RADIUS, split: int | None = None) -> DataFrame:
+    """least: (node, x), every node of docs with its least row. A table (a, b) that connects the pairs of a family
+    that are similar enough."""
+    family = components(candidates(least.select("node"), similarity, radius, split))
     sizes = cut(family.groupBy("root").agg(chunks_of(F.count(F.lit(1)), F.sum(n_shingles("node"))).alias("m")).select(F.col("root").alias("r"), "m"))
     # cut: a large family's rows may then be split in the join
-    family = cut(cut(family).join(sizes, F.col("root") == F.col("r")).select("node", F.xxhash64("root").alias("family"), "m"))
-    sets = _sets(docs, rows, family.select("node"), words).join(family.withColumnRenamed("node", "f"), F.col("node") == F.col("f"))
+    family = cut(cut(family).join(sizes, F.col("root") == F.col("r")).select(F.col("node").alias("f"), F.xxhash64("root").alias("family"), "m"))
+    sets = _sets(docs, least.join(family, F.col("node") == F.col("f"), "left_semi"), words).join(family, F.col("node") == F.col("f"))
     own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("m")).cast("int")
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"))))
     blocks = sets.withColumn("c", own).select("family", "c", "node", "shingles", other.alias("x")).select("family", "x.i", "x.j", "c", "node", "shingles")
@@ -359,19 +342,26 @@ def links(docs: DataFrame, rows: DataFrame, similarity: float, words: int, radiu
     return dealt.mapInArrow(_in_blocks(similarity), "a binary, b binary")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
-    """doc_id, h, node and class (the smallest node connected) of every row."""
+def _classed(docs: DataFrame, similarity: float, words: int, split: int | None) -> tuple[DataFrame, DataFrame]:
+    """``with_nodes`` of docs, and (f, x, class): every node with its least row and the smallest node connected."""
     rows = cut(with_nodes(docs, words))
-    found = components(links(docs, rows, similarity, words)).select(F.col("node").alias("f"), F.col("root").alias("class"))
-    named = rows.select("node").distinct().join(found, F.col("node") == F.col("f"), "left")
-    named = cut(named.select(F.col("node").alias("f"), F.coalesce("class", "node").alias("class")))
-    return rows.join(named, F.col("node") == F.col("f")).drop("f")
+    least = cut(rows.groupBy("node").agg(_least().alias("x")))
+    found = components(links(docs, least, similarity, words, split=split)).select(F.col("node").alias("f"), F.col("root").alias("class"))
+    named = least.join(found, F.col("node") == F.col("f"), "left")
+    return rows, cut(named.select(F.col("node").alias("f"), "x", F.coalesce("class", "node").alias("class")))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE, split: int | None = None) -> DataFrame:
+    """doc_id, h, node and class (the smallest node connected) of every row."""
+    rows, named = _classed(docs, similarity, words, split)
+    return rows.join(named.drop("x"), F.col("node") == F.col("f")).drop("f")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, one a class, with the columns of ``docs``. Texts are shuffled
-    twice: to compare candidates, and to return rows."""
-    stay = classes(docs, similarity, words).groupBy("class").agg(_least().alias("x")).select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key"))
+    twice: to compare families, and to return rows (only those that have the id and text of one that stays)."""
+    _, named = _classed(docs, similarity, words, None)
+    stay = named.groupBy("class").agg(F.min("x").alias("x")).select(_row_key(F.col("x.doc_id"), F.col("x.h")).alias("key"))
     stay = cut(stay.distinct())
     rows = docs.select(_row_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))

@@ -82,6 +82,7 @@ def test_block_tables_find_all(spark, monkeypatch):
     for radius in (0, 3, 7):
         rows = spark.createDataFrame([(w, 2) for w in raw], "fingerprint binary, n long")
         got = {bytes(r.fingerprint): r.found for r in P.counts_within(rows, radius).collect()}
+        assert got == {bytes(r.fingerprint): r.found for r in P.counts_within(rows, radius, split=3).collect()}
         want = {w: 2 * sum(0 < (p ^ x).bit_count() <= radius for x in prints) for w, p in zip(raw, prints)}
         assert got == {s: n for s, n in want.items() if n}
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from phrasewright.llm import _groups as G
 from phrasewright.llm import simhash_dedup as D
 from phrasewright.llm._graph import components
 
@@ -59,7 +60,7 @@ def test_query_matches_brute_force(spark, tmp_path):
     assert len({r.component_id for r in got}) < len({r.fingerprint for r in got}) - 10
 
 
-def test_trie_join_is_exact_for_other_radii(spark):
+def test_trie_join_is_exact_for_other_radii(spark, monkeypatch):
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
     for p in list(prints):
@@ -76,6 +77,9 @@ def test_trie_join_is_exact_for_other_radii(spark):
         as_signed = lambda u: u - 2**64 if u >= 2**63 else u
         want = brute_components([(as_signed(p), p) for p in prints], radius)
         assert got == {as_signed(f): i for f, i in want.items()}
+        with monkeypatch.context() as m:  # subtries in blocks give the same
+            m.setattr(G, "SPLIT", 4)
+            assert got == {r.fingerprint: r.component_id for r in D.classes(df, radius).collect()}
 
 
 def test_pieces_and_batches(monkeypatch):

@@ -168,6 +168,7 @@ def test_a_wider_key_finds_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "SUBTRIE", 0.02)
     S.plan.cache_clear()
     assert S.plan(120, 0.8, 3)[0] > 10 and found() == want
+    assert sorted((r.doc_id, r["class"]) for r in S.classes(df, split=5).collect()) == want  # subtries in blocks
     monkeypatch.setattr(S, "MOST_CHUNKS", 3)
     monkeypatch.setattr(S, "CHUNK", 1)
     assert found() == want
