@@ -1,9 +1,9 @@
 """Signature rules for licence texts, over normalised words.
 
 A rule is a regex over lower-case words with one space between; ``@`` marks the keyword that the
-prefilter looks for (``@license``). ``V`` in a template stands for a version, ``N`` for the names
-of a licence. The table is built from the families below: each version of each family gets one
-rule a template. Longer, more certain wording has the higher priority.
+prefilter looks for (``@license``). Clauses of licence texts and notices are written by hand, one regex each
+(``license_bodies`` and HAND); how licences are named follows from the families below: each version of each
+family gets one rule a template. Longer, more certain wording has the higher priority.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+from .license_bodies import BODIES, BODY, SHARED
+
 
 class Rule(NamedTuple):
     order: int
@@ -137,6 +139,9 @@ def _rules():
         yield label, pattern, "", 30, 0.8, True
     for label, pattern, priority, score in HAND:
         yield label, pattern, "", priority, score, False
+    for label, clauses in BODIES.items():
+        for pattern in clauses:
+            yield label, pattern, "", *SHARED.get(label, BODY), False
     for family, (name, also, versions) in FAMILIES.items():
         for v in versions.split("|"):
             label = f"{family}-{v.replace(' ', '.')}" if v else family
@@ -154,7 +159,7 @@ def _rules():
 def rules() -> list[Rule]:
     out = []
     for label, pattern, also, priority, score, base in _rules():
-        keyword = re.search("@([a-z0-9]+)", pattern)[1]
+        keyword = re.search(r"@([^ ()?|\[]+)", pattern)[1]
         bodies = [(keyword, pattern)]
         if (more := re.search(r"@([a-z0-9]+)((?:v?\[[0-9]+\])|\(\?:e\|es\|er\)\?|s\?)", pattern)) is not None:
             bodies = [(k, pattern.replace(more[0], f"@{k}")) for k in _spellings(more[1], more[2])]
