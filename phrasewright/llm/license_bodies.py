@@ -189,7 +189,7 @@ BODIES = {
     "cc-by-nc": ("you may not use the material for @commercial purposes", "primarily intended for or directed towards @commercial advantage or monetary compensation"),
     "cc-by-nd": ("if you remix transform or build upon the material you may not distribute the modified @material", "you do not have permission under this public license to share @adapted material"),
     "ofl": (
-        "may be sold as part of a larger software package but no copy of one or more of the original or modified versions of the @font",
+        "sold as part of a larger software package but no copy of one or more of the original or modified versions of the @font",
         "no modified version of the @font software may use the reserved font name",
         "this font software is licensed under the sil open @font license",
         "the goals of the open font license ofl are to stimulate worldwide development of collaborative @font projects",
