@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts, slices
-from ._common import cut, documents, parts_of
+from ._common import cut, documents, parts_of, written
 from ._groups import column, in_blocks, ranges, whole_groups
 from ._simhash import _MIX
 
@@ -121,7 +121,7 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprints of text and edited text (binary), near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprints of text and edited text (all three binary), near_edited, near_next.
 
     Texts are shuffled once, by ranges of ids.
     """
@@ -132,7 +132,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     def row(i, text, print_, following, next_print):
         new = edited(text, following)
         p = fingerprint(new)
-        return i, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), print_, p, likeness(print_, p), likeness(print_, next_print)
+        return i, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest(), print_, p, likeness(print_, p), likeness(print_, next_print)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
@@ -153,11 +153,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     closed = bucket if extra else None
                 if out:
                     cols = list(zip(*out))
-                    types = [kinds, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+                    types = [kinds, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
+    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 
 def tables(radius: int) -> list[tuple[int, int]]:
@@ -167,7 +167,8 @@ def tables(radius: int) -> list[tuple[int, int]]:
 
 
 def _compare(radius: int):
-    """Counts of the rows (t, key, i, j, c, fingerprint, n), sorted, within each block."""
+    """Counts of the rows (t, key, i, j, c, fingerprint, n), sorted, within each block; key is a hash of the
+    bytes in front, which are compared as well."""
     masks = []
     for first, width in tables(radius):
         mask = np.zeros(BITS // 8, np.uint8)
@@ -187,6 +188,7 @@ def _compare(radius: int):
                     own = x[at : at + max(1, _PIECE // max(1, len(y)))]
                     diff = words[own, None] ^ words[None, y]
                     hit = np.bitwise_count(diff).sum(axis=2, dtype=np.int64) <= radius
+                    hit &= ((diff & masks[table[s]]) == 0).all(axis=2)
                     for mask in masks[: table[s]]:  # the pair has met before
                         hit &= ((diff & mask) != 0).any(axis=2)
                     if i[s] == j[s]:
@@ -204,9 +206,12 @@ def _compare(radius: int):
 def counts_within(prints: DataFrame, radius: int = RADIUS, split: int | None = None) -> DataFrame:
     """prints: (fingerprint, n), fingerprints distinct and n their documents. Returns (fingerprint, found): the
     documents with another fingerprint within the radius; those without any are absent. split: as ``_groups.SPLIT``."""
-    rows = [F.struct(F.lit(t).alias("t"), F.substring("fingerprint", first + 1, width).alias("key")) for t, (first, width) in enumerate(tables(radius))]
-    moved = prints.select("fingerprint", "n", F.explode(F.array(*rows)).alias("x")).select("x.t", "x.key", "fingerprint", "n")
-    blocks = in_blocks(moved, ["t", "key"], "fingerprint", len(rows) * prints.count(), split).select("t", "key", "i", "j", "c", "fingerprint", "n")
+    places = tables(radius)
+    at = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(first + 1).alias("first"), F.lit(width).alias("width")) for t, (first, width) in enumerate(places)])
+    moved = prints.select("fingerprint", "n", F.explode(at).alias("x"))
+    key = F.hash(F.substring("fingerprint", F.col("x.first"), F.col("x.width")))
+    moved = moved.select(F.col("x.t").alias("t"), key.alias("key"), "fingerprint", "n")
+    blocks = in_blocks(moved, ["t", "key"], "fingerprint", len(places) * prints.count(), split).select("t", "key", "i", "j", "c", "fingerprint", "n")
     dealt = blocks.repartition(parts_of(prints), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     found = dealt.mapInArrow(_compare(radius), "fingerprint binary, found long")
     return found.groupBy("fingerprint").agg(F.sum("found").alias("found"))
@@ -214,10 +219,10 @@ def counts_within(prints: DataFrame, radius: int = RADIUS, split: int | None = N
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and n_near: other documents within RADIUS of the 256 bits."""
-    rows = cut(compare_with_next(documents(spark, sf_dir)))
+    rows = written(compare_with_next(documents(spark, sf_dir)))
     prints = cut(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")))
     near = prints.join(counts_within(prints).withColumnRenamed("fingerprint", "f"), F.col("fingerprint") == F.col("f"), "left")
     near = near.select(F.col("fingerprint").alias("f"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_near"))
     out = rows.join(cut(near), F.col("fingerprint") == F.col("f"))  # cut: a common fingerprint's rows may then be split
     shown = lambda c: F.lower(F.hex(c)).alias(c)
-    return out.select("doc_id", "n_chars", "edited_sha256", shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near")
+    return out.select("doc_id", "n_chars", shown("edited_sha256"), shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next", "n_near")
