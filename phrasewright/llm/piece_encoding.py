@@ -222,11 +222,13 @@ class Vocabulary:
         return self._links(" " + text) if text else []
 
     def ways(self, s: str, n: int) -> list[tuple[float, bytes]]:
-        """Loss and packed ids of the n best paths of a link, best first."""
+        """Loss and packed ids of the n best paths of a link, best first; each is checked to spell the link."""
         found = self._ways.get((s, n))
         if found is None:
-            found, top = [], None
+            found, top, raw = [], None, s.encode("utf-8", "surrogatepass")
             for score, ids in islice(self.paths(s), n):
+                if b"".join(map(self._bytes.__getitem__, ids)) != raw:
+                    raise ValueError(f"a path does not spell its link: {s!r}")
                 top = score if top is None else top
                 found.append((max(0.0, top - score), _pack(*ids)))
             if len(self._ways) > 20_000:
@@ -312,7 +314,8 @@ def decode(rows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFram
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, n_best (segmentations found, up to 4), score and lead (over the second best; null if
     none), scores and paths_sha256 (of each of the n best: the ids as little-endian 32-bit numbers),
-    ids_sha256 (of the best one's) and decoded (whether the ids of all of them decode to the text) of every document."""
+    ids_sha256 (of the best one's) and decoded (whether the ids decode to the text: those of the best are
+    decoded whole; the others differ from it in links that ``ways`` has checked) of every document."""
     held = spark.sparkContext.broadcast(Vocabulary.load())
 
     def run(texts: list[str | None]) -> list[pa.Array]:
@@ -323,7 +326,7 @@ def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
             scores = [s for s, _ in found]
             shas = [hashlib.sha256(p).hexdigest() for _, p in found]
             lead = scores[0] - scores[1] if len(found) > 1 else None
-            rows.append((len(found[0][1]) // 4, len(found), scores[0], lead, scores, shas, shas[0], all(v.decode(_unpack([p])) == (t or "") for _, p in found)))
+            rows.append((len(found[0][1]) // 4, len(found), scores[0], lead, scores, shas, shas[0], v.decode(_unpack([found[0][1]])) == (t or "")))
         types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
 

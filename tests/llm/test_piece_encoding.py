@@ -101,8 +101,11 @@ def test_every_text_round_trips(spark, tmp_path):
         want.append((str(i), len(best[0][1]), len(best), shas, shas[0], True))
     assert sorted((str(r.doc_id), r.n_pieces, r.n_best, r.paths_sha256, r.ids_sha256, r.decoded) for r in got) == sorted(want)
     assert all(r.scores[0] == r.score and r.scores == sorted(r.scores, reverse=True) and len(set(r.paths_sha256)) == r.n_best for r in got)
+    whole = dict(enumerate(r.text or "" for r in df.select("text").collect()))
+    by_text = {tuple(map(tuple, ([i.tolist() for _, i in v.n_best(t)]))): t for t in whole.values()}
     for r in rows.collect():
         assert r.paths[0] == r.ids and len(r.paths) == len(r.scores)
+        assert {v.decode(p) for p in r.paths} == {by_text[tuple(map(tuple, r.paths))]}
     assert "paths" not in E.encode(df, ["doc_id"], v, paths=False).columns
     assert E.encode(df.limit(0), ["doc_id"], v).count() == 0
 
