@@ -200,8 +200,8 @@ def classes(rows: DataFrame, radius: int) -> DataFrame:
     """rows: (doc_id, fingerprint, ...), each kept, with component_id: the smallest doc_id connected."""
     prints = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
     roots = components(links(prints.select("fingerprint"), radius))
-    merged = roots.join(prints.withColumnRenamed("fingerprint", "node"), "node")
-    lowest = merged.groupBy("root").agg(F.min("low").alias("component_id"))
+    merged = cut(roots.join(prints.withColumnRenamed("fingerprint", "node"), "node"))
+    lowest = cut(merged.groupBy("root").agg(F.min("low").alias("component_id")))
     known = merged.select("node", "root").join(lowest, "root").select(F.col("node").alias("fingerprint"), "component_id")
     alone = prints.join(known, "fingerprint", "left").select(F.col("fingerprint").alias("f"), F.coalesce("component_id", "low").alias("component_id"))
     alone = cut(alone)  # both sides of the last join are then dealt for it alone, and the rows of one fingerprint may be split

@@ -21,7 +21,9 @@ cut copy, through prefix sums over chunks; so each source takes its target round
 
 Cases: null texts and empty ones have size 0 and take 0; null sources form one source, last in
 the order; repeated rows are rows of their own (equal rows may differ in copies, in any
-order); empty tables give empty results; other columns are ignored (and kept by ``mix``).
+order); empty tables give empty results; very long texts are counted and cut whole; other columns are
+ignored (and kept by ``mix``). Equal rows are counted and then numbered in pieces, so that neither a
+task nor an array holds all of them.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_RE, cut, documents, parts_of, text_of
+from ._common import WORD_RE, cut, documents, parts_of, text_of, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: The places where words end and white space begins.
 WORD_END_RE = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+#: Equal rows that one task numbers.
+PIECE = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -98,11 +102,21 @@ def balance(hist: DataFrame, goals: DataFrame, cap: float = 2.0, steps: int = 60
     return state.select("source", "mean", F.when(full, F.lit(float("inf"))).when(F.col("target") <= 0, F.lit(float("-inf"))).otherwise(F.col("lam")).alias("lam"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows, with another ``u`` for the second and further ones of equal rows. A rerun gives the same."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = counted.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PIECE))))
+    first = F.col("_p") * PIECE
+    each = pieces.repartition(parts_of(rows), "u", "_p").withColumn("_k", F.explode(F.sequence(first, F.least(F.col("_n"), first + PIECE) - 1)))
+    u = F.when(F.col("_k") == 0, F.col("u")).otherwise(_unit(F.col("u"), F.col("_k")))
+    return each.select(*[u.alias(c) if c == "u" else F.col(f"`{c}`") for c in rows.columns])
+
+
 def take(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """rows: (source, size, u, ...), u a number in [0, 1) that a rerun gives again. Adds source_size,
-    target, rate and taken (words)."""
+    target, rate and taken (words); u differs between equal rows."""
     own = rows.columns
-    rows = cut(rows)
+    rows = cut(_apart(rows))
     hist = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
     goals = cut(targets(goals, weights, share, cap))
@@ -148,15 +162,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """The mixed corpus: ``docs`` with each row as often as it is taken.
 
     A cut copy is the text up to the end of its last word taken, as it stands; n_chars follows. Texts without
-    words aren't taken. Texts are shuffled once, to meet what is taken of them; rows with the same
-    id and text are dealt their shares in turn.
+    words aren't taken. Texts are shuffled once, to meet what is taken of them; rows with the same id, text and
+    source are written and numbered (by the task that reads them, and within its rows) and dealt their
+    shares in turn.
     """
-    key = lambda h: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), h.cast("string")).alias("key")
-    plan = take(sized(docs), weights, share, cap).select(key(F.col("h")), "size", "taken").where("taken > 0")
-    plan = plan.groupBy("key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("taken"), asc=False).alias("each"))
-    rows = docs.select(key(F.xxhash64(text_of())), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    met = rows.join(plan, "key").withColumn("taken", F.coalesce(F.get("each", turn - 1), F.lit(0).cast("long")))
+    key = lambda h: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), h.cast("string"), F.xxhash64("source").cast("string")).alias("key")
+    plan = take(sized(docs), weights, share, cap).select(key(F.col("h")), "size", "taken")
+    # a key's rows take few different shares: none, whole copies and its source's cut one
+    plan = plan.groupBy("key", "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy(F.col("taken").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    plan = plan.select("key", "size", "n", F.struct(upto.alias("upto"), "taken").alias("share"))
+    plan = plan.groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.sort_array(F.collect_list("share")).alias("each"))
+    plan = cut(plan.where(F.col("each")[0]["taken"] > 0))
+    rows = docs.select(key(F.xxhash64(text_of())), F.spark_partition_id().alias("part"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once, more = plan.where("n = 1"), plan.where("n > 1")
+    met = rows.join(once, "key").select("row", "size", F.col("each")[0]["taken"].alias("taken"))
+    if not more.isEmpty():
+        repeated = written(rows.join(more, "key", "left_semi"))
+        counts = repeated.groupBy("key", "part").agg(F.count(F.lit(1)).alias("own"))
+        before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select("key", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+        turn = F.col("first") + F.row_number().over(Window.partitionBy("key", "part").orderBy("key"))
+        dealt = repeated.join(cut(counts.join(more, "key")), ["key", "part"]).withColumn("turn", turn)
+        met = met.unionByName(dealt.select("row", "size", F.filter("each", lambda x: x["upto"] >= F.col("turn"))[0]["taken"].alias("taken")))
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     out = met.select("row", F.explode(copies).alias("first"))

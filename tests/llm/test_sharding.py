@@ -69,3 +69,25 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert H.shard(frame(spark, []).limit(0), 24).count() == 0
+
+
+def differenced(sizes, k):
+    """Karmarkar-Karp written out: the sets of each partial partition, looked through for the two widest."""
+    parts = [[(x, (i,))] + [(0, ())] * (k - 1) for i, x in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = parts[:2]
+        joined = [(x + y, own + other) for (x, own), (y, other) in zip(a, reversed(b))]
+        parts[:2] = [sorted(joined, reverse=True)]
+    return {frozenset(own) for _, own in parts[0]}
+
+
+def test_shards_are_those_of_differencing(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 10**15) for _ in range(60)]  # few and far apart: spreads don't tie
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(sizes)], "id string, bytes long")
+    for k in (2, 5, 24):
+        got = collections.defaultdict(set)
+        for r in H.assign(df, k).collect():
+            got[r.shard].add(int(r.id))
+        assert {frozenset(s) for s in got.values()} == differenced(sizes, k)

@@ -88,3 +88,25 @@ def test_a_cut_copy_is_the_text_as_it_stands(spark):
     rows = M.mix(frame(spark, texts, 0, lambda i: f"s{i // 2}")).collect()
     cut = [r for r in rows if r.text != texts[r.doc_id]]
     assert cut and all(texts[r.doc_id].startswith(r.text) and r.text.rstrip() == r.text and r.n_chars == len(r.text) for r in cut)
+
+
+def test_equal_rows_take_shares_of_their_own(spark, monkeypatch, tmp_path):
+    """A third of all rows has no id and one text: they round apart, and each source takes its target."""
+    hot = spark.createDataFrame([(None, "six words that all rows share", f"l{i % 7}", "hot", 29) for i in range(200)], corpus(spark, 1).schema)
+    df = corpus(spark).unionByName(hot).repartition(6)
+    got = M.op7_source_mixing(spark, write(clashing(df), tmp_path)).collect()
+    assert len(got) == df.count() and len({r.taken for r in got if r.doc_id is None}) > 1
+    out = M.mix(df)
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(M.n_words(M.text_of())).alias("n")).collect()}
+    want = goals({r.source: r.n for r in df.groupBy("source").agg(F.sum(M.n_words(M.text_of())).alias("n")).collect()})
+    assert words == {s: round(t) for s, t in want.items() if round(t)}
+    taken = sum(r.taken for r in got if r.doc_id is None)
+    assert out.where("doc_id IS NULL").agg(F.sum(M.n_words(M.text_of())).alias("n")).first().n == taken
+    every = lambda: sorted((str(r.doc_id), r.size, r.taken) for r in M.take(M.sized(df)).collect())
+    first = every()
+    monkeypatch.setattr(M, "PIECE", 7)
+    assert every() == first == sorted((str(r.doc_id), r.size, r.taken) for r in got)
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    assert M.op7_source_mixing(spark, write(corpus(spark).limit(0), tmp_path)).count() == 0
