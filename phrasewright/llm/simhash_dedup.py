@@ -35,7 +35,7 @@ from ._groups import column, in_blocks, ranges, whole_groups
 from ._simhash import fingerprint, shingle_hashes
 
 #: Node pairs traversed at once, and rows read before whole subtries are joined: bound a task's memory.
-PIECE = 200_000
+PIECE = 50_000
 
 
 def with_fingerprint(docs: DataFrame, words: int, keys: list[str]) -> DataFrame:
